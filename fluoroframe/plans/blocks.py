@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fluoroframe.plans.skew import salted_join
 from fluoroframe.sources.tiles import TILE_COLUMNS, TILE_SCHEMA
 
 # Box of a sparse block as (z, y, x) extent.
@@ -100,23 +101,29 @@ def neighbour_pairs(grid: np.ndarray, steps: list[tuple[int, int, int]]):
 def map_tiles(
     tiles: DataFrame,
     images: DataFrame,
-    kernel: Callable[[np.ndarray], np.ndarray],
+    kernel: Callable[[np.ndarray, dict], np.ndarray],
     halo: tuple[int, int, int],
     mode: str,
     slab: int = 1,
+    extra: DataFrame | None = None,
 ) -> DataFrame:
     """Apply a neighbourhood kernel to tiles.
 
     Each tile sends to every tile that needs it only the rows and columns inside
     that tile's halo.  A group is one tile column of ``slab`` planes plus its rim.
     ``mode`` says what lies outside the image: a ``numpy.pad`` mode ("edge",
-    "symmetric") or "inf".  The kernel maps a padded (z, y, x) array to an array of
-    the same shape, from which the core is cut out.
+    "symmetric") or "inf".  The kernel maps a padded (z, y, x) array and facts about
+    the image (dtype, size, extra) to an array of the same shape, from which the core
+    is cut out.  ``extra`` is a table image_id, channel, extra ARRAY<DOUBLE>.
     """
     hz, hy, hx = halo
     grid = tiles.groupBy("image_id").agg(F.max("h").alias("_th"), F.max("w").alias("_tw"))
-    size = images.select("image_id", "size_z", "size_y", "size_x").join(grid, "image_id")
-    src = tiles.join(size, "image_id")
+    size = images.select("image_id", "size_z", "size_y", "size_x", "dtype").join(grid, "image_id")
+    src = salted_join(tiles, size, ["image_id"], ["channel", "t", "z", "ty", "tx"])
+    if extra is not None:
+        src = salted_join(src, extra, ["image_id", "channel"], ["t", "z", "ty", "tx"])
+    else:
+        src = src.withColumn("extra", F.lit(None).cast("array<double>"))
     # target tiles along y and x, target slabs along z
     src = src.withColumn("_ny", F.expr(f"cast(ceil({hy} / _th) as int)"))
     src = src.withColumn("_nx", F.expr(f"cast(ceil({hx} / _tw) as int)"))
@@ -143,7 +150,7 @@ def map_tiles(
         "flatten(transform(sequence(_r0, _r1 - 1), r -> slice(data, r * w + _c0 + 1, _c1 - _c0)))"
     )
     src = src.select(
-        "image_id", "channel", "t", "_bz", "_ty", "_tx", "_th", "_tw", "size_z", "size_y", "size_x", "z",
+        "image_id", "channel", "t", "_bz", "_ty", "_tx", "_th", "_tw", "size_z", "size_y", "size_x", "dtype", "extra", "z",
         (F.col("y0") + F.col("_r0")).alias("py"),
         (F.col("x0") + F.col("_c0")).alias("px"),
         (F.col("_r1") - F.col("_r0")).alias("ph"),
@@ -151,7 +158,7 @@ def map_tiles(
         piece.alias("piece"),
     )
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         image, channel, t, bz, gy, gx = key
         first = pdf.iloc[0]
         nz, ny, nx = int(first.size_z), int(first.size_y), int(first.size_x)
@@ -167,7 +174,8 @@ def map_tiles(
             full = np.pad(block, pads, constant_values=np.inf)
         else:
             full = np.pad(block, pads, mode=mode)
-        out = kernel(full)
+        extra = None if first['extra'] is None else np.asarray(first['extra'], dtype=float)
+        out = kernel(full, {"dtype": first['dtype'], "size": (nz, ny, nx), "extra": extra})
         out = out[tuple(slice(h, n - h) for h, n in zip(halo, out.shape))]
         zs = range(want[0][0], want[0][1])
         return pd.DataFrame(
