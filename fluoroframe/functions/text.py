@@ -101,8 +101,8 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(pairs, key)
 
 
-def _once(c: Column, body) -> Column:
-    """``body(c)`` with ``c`` evaluated a single time."""
+def once(c: Column, body) -> Column:
+    """``body(c)`` with ``c`` evaluated a single time, however often body uses it."""
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
@@ -130,7 +130,7 @@ def normalise_text(c: Column) -> Column:
 
 def canonical_color(c: Column) -> Column:
     """green / red / uv / ir by exact, compact, then first contained alias (F2)."""
-    found = _once(
+    found = once(
         normalise_text(c),
         lambda t: F.coalesce(
             _lookup(COLOR_ALIASES, t),
@@ -163,7 +163,7 @@ def color_from_wavelengths(excitation: Column, emission: Column) -> Column:
 
 def color_from_name(c: Column) -> Column:
     """Colour of the first fluorophore word contained in a channel name."""
-    return _once(_squeeze(_spaced(c)), lambda t: _first_contained(NAME_COLOR_ALIASES, t))
+    return once(_squeeze(_spaced(c)), lambda t: _first_contained(NAME_COLOR_ALIASES, t))
 
 
 def channel_info(name: Column, excitation: Column, emission: Column) -> Column:

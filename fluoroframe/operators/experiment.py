@@ -112,7 +112,7 @@ def upsert_runs(runs: DataFrame, new: DataFrame, order: str = "updated_at") -> D
     used = runs.unionByName(known, allowMissingColumns=True)
     last = used.agg(F.coalesce(F.max(F.regexp_extract("run_id", r"^run_(\d+)$", 1).try_cast("long")), F.lit(0)).alias("n"))
     block = fresh.withColumns({"_one": F.lit(0), "_at": F.date_trunc("hour", F.col(order))})
-    numbered = number_rows(block, ["_one"], ["_at", order], "_n").drop("_one", "_at")
+    numbered = number_rows(block, ["_one"], ["_at", order], "_n", start=1).drop("_one", "_at")
     n = F.col("_n") + last.scalar()
     fresh = numbered.withColumn("run_id", F.format_string("run_%04d", n)).drop("_n")
     return _latest(used, fresh, "run_id", order)

@@ -673,12 +673,12 @@ add(
     "morphology",
     _morphology,
     _with(PLATE, MASK, GRAPH, CHAINS, tail="""
-, n AS (SELECT count(*) FILTER (degree = 1) AS ends, count(*) FILTER (degree > 2) AS junctions, count(*) AS vox, max(y) - min(y) AS by,
-       max(x) - min(x) AS bx, count(DISTINCT component_id) AS comps FROM node),
+, n AS (SELECT count(*) FILTER (degree = 1) AS ends, count(*) FILTER (degree > 2) AS junctions, count(*) AS vox, max(y) - min(y) AS ry,
+       max(x) - min(x) AS rx, count(DISTINCT component_id) AS comps FROM node),
 b AS (SELECT sum(len) AS total, avg(len) AS mean, median(len) AS med, count(*) AS k, count(*) FILTER (code IN (0, 1)) AS term,
        count(*) FILTER (code = 2) AS inner_n FROM branch)
-SELECT 'plate' AS trace_id, ends AS n_endpoints, junctions AS n_junctions, vox AS skeleton_voxels, CAST(by AS DOUBLE) AS bbox_0,
-  CAST(bx AS DOUBLE) AS bbox_1, comps AS n_components, round(total, 6) AS total_length, round(mean, 6) AS mean_branch_length, k AS n_branches,
+SELECT 'plate' AS trace_id, ends AS n_endpoints, junctions AS n_junctions, vox AS skeleton_voxels, CAST(ry AS DOUBLE) AS bbox_0,
+  CAST(rx AS DOUBLE) AS bbox_1, comps AS n_components, round(total, 6) AS total_length, round(mean, 6) AS mean_branch_length, k AS n_branches,
   term AS n_terminal_branches, inner_n AS n_internal_branches, round(med, 6) AS median_branch_length,
   round(vox / (SELECT count(*) FROM plate), 6) AS skeleton_volume_occupancy, 'pixels' AS length_unit FROM n, b""", recursive=True),
 )

@@ -144,11 +144,11 @@ def layers(spark: SparkSession, sf: str) -> DataFrame:
 
 def files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Page addresses as requested paths, long pages as the files that exist."""
-    p = table(spark, sf, "pages")
-    requests = p.select(F.col("url").alias("path"), F.col("page_id").alias("arrival"))
-    listed = p.where(F.length("html") > 1200).groupBy(F.col("url").alias("path")).agg(
-        F.max(F.length("html")).cast("long").alias("length")
-    )
+    p = table(spark, sf, "pages").withColumn("n", F.length("html"))
+    kinds = F.array(*[F.lit(k) for k in (".ome.tif", ".TIFF", ".lsm", ".czi", ".png")])
+    p = p.withColumn("path", F.concat("url", F.get(kinds, F.col("n") % 5)))
+    requests = p.select("path", F.col("page_id").alias("arrival"))
+    listed = p.where("n > 1200").groupBy("path").agg(F.max("n").cast("long").alias("length"))
     return requests, listed
 
 

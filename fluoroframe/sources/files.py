@@ -28,7 +28,7 @@ def unique_ids(rows: DataFrame, slug: str, arrival: str, name: str, first_suffix
     next free suffix in a further pass.
     """
     block = rows.withColumn("_block", F.expr(f"{arrival} div 1000000"))
-    ranked = number_rows(block, [slug], ["_block", arrival], "_rank").drop("_block")
+    ranked = number_rows(block, [slug], ["_block", arrival], "_rank", start=1).drop("_block")
     ranked = ranked.withColumn("_suffix", F.col("_rank") + first_suffix - 2)
     label = F.when(F.col("_rank") == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("_"), F.col("_suffix").cast("string")))
     ranked = cut(ranked.withColumn(name, label))
