@@ -35,17 +35,18 @@ add(
 )
 _FN = {"mean": "avg", "median": "median", "std": "stddev_samp", "sum": "sum", "count": "count", "min": "min", "max": "max"}
 for _op, _sql in _FN.items():
-    _r = (lambda c: c) if _op == "count" else (lambda c: f"round({c}, 2)")
+    _n = 2 if _op == "sum" else 6  # long sums of prices keep two decimals
+    _r = (lambda c: c) if _op == "count" else (lambda c, n=_n: f"round({c}, {n})")
     add(
         f"summarize_table_{_op}",
-        lambda s, d, op=_op: rounded(measure.summarize_table(views.objects(s, d), op, "group", ["area", "mean_intensity"]), 2),
+        lambda s, d, op=_op, n=_n: rounded(measure.summarize_table(views.objects(s, d), op, "group", ["area", "mean_intensity"]), n),
         _with(OBJECTS, tail=f"""SELECT "group", {_r(f'{_sql}(area)')} AS area, {_r(f'{_sql}(mean_intensity)')} AS mean_intensity
 FROM objects WHERE "group" IS NOT NULL GROUP BY "group" """),
     )
 add(
     "summarize_table_all",
-    lambda s, d: rounded(measure.summarize_table(views.objects(s, d).select("area", "mean_intensity"), "median"), 2),
-    _with(OBJECTS, tail="SELECT round(median(area), 2) AS area, round(median(mean_intensity), 2) AS mean_intensity FROM objects"),
+    lambda s, d: rounded(measure.summarize_table(views.objects(s, d).select("area", "mean_intensity"), "median")),
+    _with(OBJECTS, tail="SELECT round(median(area), 6) AS area, round(median(mean_intensity), 6) AS mean_intensity FROM objects"),
 )
 
 
@@ -60,16 +61,16 @@ SAMPLE = """sample AS (
          stddev_samp(mean_intensity) AS sd, min("group") AS "group" FROM objects GROUP BY sample_name)"""
 add(
     "summarize_experiment_samples",
-    lambda s, d: rounded(_summary(s, d)[0], 4),
+    lambda s, d: rounded(_summary(s, d)[0], 6),
     _with(OBJECTS, SAMPLE, tail="""
-SELECT sample_name, n AS count, round(mean, 4) AS mean, round(med, 4) AS median, round(sd, 4) AS std, round(sd / sqrt(n), 4) AS sem, "group" FROM sample"""),
+SELECT sample_name, n AS count, round(mean, 6) AS mean, round(med, 6) AS median, round(sd, 6) AS std, round(sd / sqrt(n), 6) AS sem, "group" FROM sample"""),
 )
 add(
     "summarize_experiment_groups",
-    lambda s, d: rounded(_summary(s, d)[1], 4),
+    lambda s, d: rounded(_summary(s, d)[1], 6),
     _with(OBJECTS, SAMPLE, tail="""
-SELECT s."group", count(*) AS n_samples, round(avg(mean), 4) AS mean, round(avg(med), 4) AS median, round(avg(sd), 4) AS std,
-  round(avg(sd / sqrt(n)), 4) AS sem, any_value(k) AS n_objects
+SELECT s."group", count(*) AS n_samples, round(avg(mean), 6) AS mean, round(avg(med), 6) AS median, round(avg(sd), 6) AS std,
+  round(avg(sd / sqrt(n)), 6) AS sem, any_value(k) AS n_objects
 FROM sample s JOIN (SELECT "group", count(*) AS k FROM objects GROUP BY "group") g ON g."group" IS NOT DISTINCT FROM s."group" GROUP BY s."group" """),
 )
 add(
