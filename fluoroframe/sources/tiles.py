@@ -166,32 +166,27 @@ def labels_summary(labels: DataFrame, images: DataFrame, max_points: int = 65536
 
 
 def extract_timepoint(vox: DataFrame, t: int, images: DataFrame | None = None) -> DataFrame:
-    """Keep one frame and drop the axis (t becomes 0); out of range raises at run time.
+    """Keep one frame and drop the axis (t becomes 0).
 
-    The frame count comes from ``images.size_t`` when given, else from the voxels.
+    The frame count is one number from ``images`` (or the largest t of the voxels), so
+    an index out of range fails at once and the filter itself stays a plain ``t = k``
+    that reaches the scan.
     """
-    if t < 0:
-        raise ValueError(f"timepoint {t} out of range")
     if images is not None:
-        size = images.agg(F.max("size_t").alias("n"))
+        frames = images.agg(F.max("size_t")).first()[0] or 0
     else:
-        size = vox.agg((F.max("t") + 1).alias("n"))
-    frames = size.select("n").scalar()
-    ok = F.when(frames > t, F.lit(t)).otherwise(
-        F.raise_error(F.concat(F.lit(f"timepoint {t} out of range for "), frames.cast("string")))
-    )
-    return vox.where((F.col("t") == t)).withColumn("t", (ok - F.lit(t)).cast("int"))
+        frames = (vox.agg(F.max("t")).first()[0] or 0) + 1
+    if not 0 <= t < frames:
+        raise ValueError(f"timepoint {t} out of range for {frames} frames")
+    return vox.where(F.col("t") == t).withColumn("t", F.lit(0))
 
 
 def select_position(vox: DataFrame, position: int) -> DataFrame:
     """Keep one stage position and drop the column."""
-    if position < 0:
-        raise ValueError(f"position index {position} out of range")
-    count = vox.agg((F.max("position") + 1).alias("n")).scalar()
-    guard = F.when(count > position, F.lit(position)).otherwise(
-        F.raise_error(F.concat(F.lit(f"position index {position} out of range for "), count.cast("string")))
-    )
-    return vox.where(F.col("position") == guard).drop("position")
+    count = (vox.agg(F.max("position")).first()[0] or 0) + 1
+    if not 0 <= position < count:
+        raise ValueError(f"position index {position} out of range for {count} positions")
+    return vox.where(F.col("position") == position).drop("position")
 
 
 def position_warnings(vox: DataFrame) -> DataFrame:
