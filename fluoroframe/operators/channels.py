@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fluoroframe.functions.text import canonical_color, canonical_role, channel_index, normalise_text
+from fluoroframe.plans.skew import salted_join
 
 _INFO = ("name", "channel_name", "marker", "color", "excitation_wavelength_nm", "emission_wavelength_nm")
 
@@ -104,7 +105,10 @@ def candidates(layers: DataFrame, channels: DataFrame, requests: DataFrame) -> D
     first = found.join(best, ["request_id", "rank"]).distinct()
     open_ = req.join(best.select("request_id"), "request_id", "left_anti").where("word != ''")
     texts = meta.select("image_id", F.col("name").alias("layer"), normalise_text(F.col("layer_text")).alias("text"))
-    loose = open_.join(texts, "image_id").where(F.contains("text", "word"))
+    # distinct words meet distinct texts, spread by layer; no whole image in one task
+    words_ = open_.select("image_id", "word").distinct()
+    loose = salted_join(texts.distinct(), words_, ["image_id"], ["layer", "text"]).where(F.contains("text", "word"))
+    loose = open_.join(loose.select("image_id", "word", "layer"), ["image_id", "word"])
     return first.select("request_id", "layer", "rank").unionByName(
         loose.select("request_id", "layer", F.lit(4).alias("rank")).distinct()
     )

@@ -46,15 +46,18 @@ def manders(
         if isinstance(spec, str) and spec not in ("otsu", "zero"):
             raise ValueError(f"unsupported threshold spec: {spec!r}")
     inside = apply_mask(vox.where(F.col("channel").isin(a, b)), labels)
-    limits = [
-        resolve_threshold(inside.where(F.col("channel") == c), spec).select(
-            "image_id", F.col("threshold").alias(name)
+    if threshold_a == threshold_b:
+        # both layers in one pass
+        both = resolve_threshold(inside, threshold_a)
+        pick = lambda c: F.max(F.when(F.col("channel") == c, F.col("threshold")))
+        limits = both.groupBy("image_id").agg(pick(a).alias("threshold_a"), pick(b).alias("threshold_b"))
+    else:
+        one, two = (
+            resolve_threshold(inside.where(F.col("channel") == c), spec).select("image_id", F.col("threshold").alias(name))
+            for c, spec, name in ((a, threshold_a, "threshold_a"), (b, threshold_b, "threshold_b"))
         )
-        for c, spec, name in ((a, threshold_a, "threshold_a"), (b, threshold_b, "threshold_b"))
-    ]
-    pairs = salted_join(
-        channel_pairs(inside, a, b), limits[0].join(limits[1], "image_id"), ["image_id"], ["t", "z", "y", "x"]
-    )
+        limits = one.join(two, "image_id")
+    pairs = salted_join(channel_pairs(inside, a, b), limits, ["image_id"], ["t", "z", "y", "x"])
     sums = pairs.groupBy("image_id", "threshold_a", "threshold_b").agg(
         F.sum("a").alias("sa"),
         F.sum("b").alias("sb"),

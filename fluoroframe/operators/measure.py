@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from fluoroframe.plans.ranks import exact_percentiles
+from fluoroframe.plans.ranks import exact_medians
 from fluoroframe.sources.tiles import VOXEL_KEY
 
 # Default property lists of the two measurement operators.
@@ -273,13 +273,7 @@ def summarize_table(
     keys = [group_by] if group_by else []
     rows = df.where(F.col(group_by).isNotNull()) if group_by else df
     if op == "median":
-        parts = [exact_percentiles(rows, keys, c, {c: 0.5}) for c in cols]
-        if not keys:
-            parts = [p.withColumn("_one", F.lit(1)) for p in parts]
-            return reduce(lambda a, b: a.join(b, "_one"), parts).drop("_one")
-        # a group whose values are all null still has its row
-        start = rows.select(*keys).distinct()
-        return reduce(lambda a, b: a.join(b, keys, "left"), parts, start)
+        return exact_medians(rows, keys, cols)
     fn = {"mean": F.avg, "sum": F.sum, "count": F.count, "std": F.stddev_samp, "min": F.min, "max": F.max}[op]
     aggs = [fn(F.col(f"`{c}`")).alias(c) for c in cols]
     return rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)

@@ -20,32 +20,62 @@ def detections(labels: DataFrame) -> DataFrame:
     )
 
 
-def _nearest(src: DataFrame, dst: DataFrame, gap: int, radius: float, axes: str) -> DataFrame:
-    """For every source the closest target ``gap`` frames later within ``radius``.
+# Most targets a grid cell may hold before a finer grid is searched first.
+CELL_LIMIT = 1000
 
-    Targets are found through grid cells in two passes: cells of an eighth of the
-    radius first, full-size cells only for sources without a target closer than the
-    small cell.  The minimum is taken by partial aggregation, so candidate pairs are
-    never collected.  Ties: smaller distance, then smaller label, then id.
+
+def _cells(axes: str, size: float) -> list:
+    return [F.floor(F.col(a) / size).cast("long").alias(f"c{a}") for a in axes]
+
+
+def _grid_sizes(dets: DataFrame, radius: float, axes: str) -> list[float]:
+    """Cell sizes to search, finest first.
+
+    The fullest cell of the coarse grid is counted once.  Every further level divides
+    the cell by eight per axis and is only added while cells hold too many targets, so
+    crowded places find their neighbour on a fine grid and never meet the coarse one.
     """
-    best = None
-    left = src
-    for size in (radius / 8, radius):
-        cell = [F.floor(F.col(a) / size).cast("long").alias(f"c{a}") for a in axes]
-        around = F.explode(
-            F.array(*[F.struct(*[F.lit(v).alias(f"o{a}") for a, v in zip(axes, o)]) for o in product((-1, 0, 1), repeat=len(axes))])
+    sizes = [radius]
+    while len(sizes) < 8:
+        cell = dets.groupBy("image_id", "t", *_cells(axes, sizes[0])).count()
+        if (cell.agg(F.max("count")).first()[0] or 0) <= CELL_LIMIT:
+            break
+        sizes.insert(0, sizes[0] / 8)
+    return sizes
+
+
+def _nearest(src: DataFrame, dst: DataFrame, gap: int, sizes: list[float], axes: str) -> DataFrame:
+    """For every source the closest target ``gap`` frames later within the last size.
+
+    A target closer than one cell lies in the cells around the source, so a hit on a
+    fine grid is final and only the rest moves on to the next grid.  Targets at one
+    place count once (smallest label).  The minimum is taken by partial aggregation;
+    candidate pairs are never collected.  Ties: smaller distance, label, then id.
+    """
+    place = ["image_id", "t", *axes]
+    spots = dst.groupBy(*place).agg(F.min(F.struct("label", "id")).alias("who"))
+    around = F.explode(
+        F.array(
+            *[
+                F.struct(*[F.lit(v).alias(f"o{a}") for a, v in zip(axes, o)])
+                for o in product((-1, 0, 1), repeat=len(axes))
+            ]
         )
-        here = left.select("image_id", F.col("t") + gap, "id", *axes, *cell, around.alias("o"))
+    )
+    best, left = None, src
+    for size in sizes:
+        here = left.select("image_id", F.col("t") + gap, "id", *axes, *_cells(axes, size), around.alias("o"))
         here = here.toDF("image_id", "t", "src", *[f"s{a}" for a in axes], *[f"c{a}" for a in axes], "o")
         here = here.withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"o.o{a}") for a in axes}).drop("o")
-        there = dst.select("image_id", "t", F.col("id").alias("dst"), "label", *axes, *cell)
+        there = spots.select("image_id", "t", "who", *axes, *_cells(axes, size))
         pairs = here.join(there, ["image_id", "t", *[f"c{a}" for a in axes]])
         dist = F.sqrt(sum((F.pow(F.col(f"s{a}") - F.col(a), 2) for a in axes), F.lit(0.0)))
         hit = pairs.withColumn("d", dist).where(F.col("d") <= size)
-        found = hit.groupBy("image_id", "src").agg(F.min(F.struct("d", "label", "dst")).alias("m"))
-        found = found.select("image_id", "src", "m.dst", "m.d")
+        found = hit.groupBy("image_id", "src").agg(F.min(F.struct("d", "who")).alias("m"))
+        found = found.select("image_id", "src", F.col("m.who.id").alias("dst"), "m.d")
         best = found if best is None else best.unionByName(found)
-        left = left.join(found.select("image_id", F.col("src").alias("id")), ["image_id", "id"], "left_anti")
+        if size != sizes[-1]:
+            left = left.join(found.select("image_id", F.col("src").alias("id")), ["image_id", "id"], "left_anti")
     return best
 
 
@@ -60,11 +90,14 @@ def link(
     axes = "zyx" if ndim == 3 else "yx"
     dets = number_rows(dets, ["image_id"], ["t", "label"], "id", start=0)
     dets = cut(dets)
+    sizes = _grid_sizes(dets, float(search_radius), axes)
     links = None
     heads, tails = dets, dets
     for gap in range(1, max_lost + 2):
-        ahead = _nearest(heads, tails, gap, search_radius, axes)
-        back = _nearest_back(heads, tails, gap, search_radius, axes)
+        ahead = _nearest(heads, tails, gap, sizes, axes)
+        # the same search seen from the later frame: its closest earlier open end
+        back = _nearest(tails, heads, -gap, sizes, axes)
+        back = back.select("image_id", F.col("src").alias("dst"), F.col("dst").alias("src"))
         new = cut(ahead.join(back, ["image_id", "src", "dst"]).select("image_id", "src", "dst", F.lit(gap).alias("gap"), "d"))
         links = new if links is None else links.unionByName(new)
         heads = cut(heads.join(new.select("image_id", F.col("src").alias("id")), ["image_id", "id"], "left_anti"))
@@ -72,12 +105,6 @@ def link(
     return dets, links
 
 
-def _nearest_back(heads: DataFrame, tails: DataFrame, gap: int, radius: float, axes: str) -> DataFrame:
-    """The same search seen from the later frame: closest earlier open end."""
-    back = _nearest(tails, heads, -gap, radius, axes)
-    return back.select("image_id", F.col("src").alias("dst"), F.col("dst").alias("src"))
-
-
 def track(
     dets: DataFrame, search_radius: float = 50.0, max_lost: int = 5, ndim: int = 2
 ) -> DataFrame:

@@ -905,9 +905,11 @@ SELECT image_id, channel_index, name, ex AS excitation_wavelength_nm, em AS emis
 def _recipe(s, d):
     """One image and one sample per embedding label, and one sample without image."""
     v = views.plate(s, d).select(F.col("label").cast("string").alias("image_id"), "channel", "t", "z", "y", "x", "v")
-    size = views.images(s, d).select("size_t", "size_z", "size_y", "size_x", "voxel_z", "voxel_y", "voxel_x", "dtype", "axes")
     ids = v.select("image_id").distinct()
-    img = ids.withColumn("_k", F.lit(1)).join(size.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    img = v.groupBy("image_id").agg(
+        F.lit(1).alias("size_t"), F.lit(1).alias("size_z"), (F.max("y") + 1).alias("size_y"), (F.max("x") + 1).alias("size_x"),
+        F.lit(1.0).alias("voxel_z"), F.lit(0.5).alias("voxel_y"), F.lit(0.25).alias("voxel_x"), F.lit("float32").alias("dtype"), F.lit("YX").alias("axes"),
+    )
     lay = ids.select("image_id", F.lit("g").alias("name"), F.lit("image").alias("kind"))
     none = s.createDataFrame([], "image_id string, layer_name string, role string, color string, marker string, biological_target string")
     smp = views.table(s, d, "embeddings").select(F.explode(F.array(F.col("label") + 1, F.col("label") + 2)).alias("i"))

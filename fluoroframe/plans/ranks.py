@@ -36,7 +36,7 @@ def exact_percentiles(
     repeats until the distinct values left in every bracket fit into ``limit``.
     """
     data, ks = _keyed(df, list(keys))
-    data = data.select(*ks, F.col(value).cast("double").alias("_v"))
+    data = data.select(*ks, F.col(f"`{value}`").cast("double").alias("_v"))
     data = data.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     largest = data.groupBy(*ks).count().agg(F.max("count")).first()[0] or 0
     if largest <= limit:
@@ -49,6 +49,23 @@ def exact_percentiles(
     return out if keys else out.drop("_all")
 
 
+def exact_medians(df: DataFrame, keys: Sequence[str], values: Sequence[str], limit: int = GROUP_LIMIT) -> DataFrame:
+    """Medians of several columns per key; the group sizes are checked once.
+
+    Without keys the result is one row.
+    """
+    data, ks = _keyed(df, list(keys))
+    largest = data.groupBy(*ks).count().agg(F.max("count")).first()[0] or 0
+    if largest <= limit:
+        clean = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
+        out = data.groupBy(*ks).agg(*[F.percentile(clean(c), 0.5).alias(c) for c in values])
+    else:
+        out = data.select(*ks).distinct()
+        for c in values:
+            out = out.join(exact_percentiles(data, ks, c, {c: 0.5}, limit), ks, "left")
+    return out if keys else out.drop("_all")
+
+
 def _by_narrowing(data: DataFrame, ks: list[str], probs: dict[str, float], limit: int) -> DataFrame:
     wanted = F.array(
         *[

@@ -155,3 +155,19 @@ def test_detections_are_centroids(spark):
     lab[1:3, 1:4] = 5
     d = tr.detections(labels(spark, lab, t=3)).first()
     assert (d.t, d.label, d.y, d.x) == (3, 5, 1.5, 2.0)
+
+
+def test_crowded_frames_search_finer_grids(spark, monkeypatch):
+    monkeypatch.setattr(tr, "CELL_LIMIT", 3)
+    rng = np.random.default_rng(5)
+    spots = {t: rng.random((25, 2)) * 12 for t in range(2)}
+    rows = [("a", t, k, 0.0, *map(float, p)) for t in spots for k, p in enumerate(spots[t])]
+    rows += [("a", 1, 90 + k, 0.0, 3.0, 3.0) for k in range(5)]  # several targets at one place
+    dets = spark.createDataFrame(rows, SCHEMA)
+    assert len(tr._grid_sizes(dets, 8.0, "yx")) > 1
+    found, links = tr.link(dets, 8.0, 0)
+    f = found.toPandas()
+    one, two = f[f.t == 0], f[f.t == 1]
+    gap = np.hypot(one.y.to_numpy()[:, None] - two.y.to_numpy(), one.x.to_numpy()[:, None] - two.x.to_numpy())
+    want = {(int(one.id.iloc[i]), int(two.id.iloc[j])) for i, j in enumerate(gap.argmin(1)) if gap[:, j].argmin() == i and gap[i, j] <= 8}
+    assert {(r.src, r.dst) for r in links.collect()} == want
