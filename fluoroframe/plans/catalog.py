@@ -134,7 +134,7 @@ FROM plate GROUP BY image_id, label"""),
 
 def _movie(s, d):
     vox, lab = views.movie(s, d)
-    image = s.range(1).select(F.lit("movie").alias("image_id"), F.lit("1.5").alias("time_interval_s"))
+    image = s.range(1).select(F.when(F.col("id") >= 0, "movie").alias("image_id"), F.lit("1.5").alias("time_interval_s"))
     return rounded(_movie_all(vox, lab, image))
 
 

@@ -702,13 +702,13 @@ kept AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY session_id, t
 said AS (SELECT *, CASE tool WHEN 'rolling_ball_background' THEN 'a rolling-ball background of radius ' || k || ' was removed'
   WHEN 'max_projection' THEN 'the maximum was projected along ' || k ELSE 'processes were separated from background by threshold (' || k || ')' END AS sentence FROM kept)"""
 add(
-    "pipeline_records",
-    lambda s, d: pv.pipeline_records(views.log(s, d)).select("session_id", "tool", "inputs", "timestamp", "event_id"),
+    "analysis_records",
+    lambda s, d: pv.analysis_records(views.log(s, d)).select("session_id", "tool", "inputs", "timestamp", "event_id"),
     _with(LOG, tail="SELECT session_id, tool, inputs, timestamp, event_id FROM kept"),
 )
 add(
     "session_totals",
-    lambda s, d: rounded(pv.session_totals(pv.pipeline_records(views.log(s, d)))),
+    lambda s, d: rounded(pv.session_totals(pv.analysis_records(views.log(s, d)))),
     _with(LOG, tail="SELECT session_id, count(*) AS n_operations, count(DISTINCT tool) AS n_tools, round(sum(duration_s), 6) AS total_duration_s FROM kept GROUP BY session_id"),
 )
 add(

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 PLATE = "plate"
 
 
+def _named(name: str, row: str):
+    """The image a row belongs to; a value of the row, not a constant of the plan, so
+    that joins on image_id stay what they are with many images."""
+    return F.when(F.col(row) >= 0, name)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -16,7 +22,7 @@ def plate(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     px = e.select("vec_id", "label", F.posexplode("embedding").alias("x", "v"))
     return px.select(
-        F.lit(PLATE).alias("image_id"), F.lit("g").alias("channel"), F.lit(0).alias("t"), F.lit(0).alias("z"),
+        _named(PLATE, "vec_id").alias("image_id"), F.lit("g").alias("channel"), F.lit(0).alias("t"), F.lit(0).alias("z"),
         F.col("vec_id").cast("int").alias("y"), "x", F.col("v").cast("double").alias("v"),
         (F.col("label") + 1).alias("label"),
     )
@@ -32,7 +38,7 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def _images(extent: DataFrame, axes: str, scale: tuple[float, float, float], dtype: str = "float32") -> DataFrame:
     return extent.select(
-        F.lit(PLATE).alias("image_id"), F.lit("/data/plate.tif").alias("path"), F.lit(axes).alias("axes"),
+        _named(PLATE, "size_y").alias("image_id"), F.lit("/data/plate.tif").alias("path"), F.lit(axes).alias("axes"),
         "size_t", "size_z", "size_y", "size_x",
         *[F.lit(s).alias(f"voxel_{a}") for a, s in zip("zyx", scale)],
         F.lit(1.5).alias("time_interval_s"), F.lit(dtype).alias("dtype"),
@@ -76,7 +82,7 @@ def movie(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Events as voxels of a movie: frame = day, row = user, channel = event type."""
     e = table(spark, sf, "events")
     base = e.select(
-        F.lit("movie").alias("image_id"), F.col("event_type").alias("channel"),
+        _named("movie", "event_id").alias("image_id"), F.col("event_type").alias("channel"),
         (F.dayofmonth("ts") - 1).alias("t"), F.lit(0).alias("z"), F.col("user_id").cast("int").alias("y"),
         F.col("event_id").cast("int").alias("x"), F.col("value").alias("v"),
     )
@@ -127,7 +133,7 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as object detections in 20 frames."""
     e = table(spark, sf, "embeddings")
     return e.select(
-        F.lit("film").alias("image_id"), (F.col("vec_id") % 20).cast("int").alias("t"),
+        _named("film", "vec_id").alias("image_id"), (F.col("vec_id") % 20).cast("int").alias("t"),
         F.col("vec_id").cast("int").alias("label"), F.lit(0.0).alias("z"),
         (F.col("embedding")[0].cast("double") * 100).alias("y"), (F.col("embedding")[1].cast("double") * 100).alias("x"),
     )

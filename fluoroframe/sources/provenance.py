@@ -87,7 +87,7 @@ def canonical_inputs(json: Column) -> Column:
     return F.coalesce(F.to_json(keys), F.lit("[]"))
 
 
-def pipeline_records(log: DataFrame) -> DataFrame:
+def analysis_records(log: DataFrame) -> DataFrame:
     """Successful analysis calls, the first of each (session, tool, inputs).
 
     The first call is taken by a partial ``min`` aggregation, not a window over the

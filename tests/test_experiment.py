@@ -161,7 +161,7 @@ def test_provenance_log_and_report(spark, tmp_path):
     (tmp_path / "log" / "broken.json").write_text("\nnot json\n")
     log = pv.read(spark, str(tmp_path / "log")).withColumn("session_id", F.lit("s"))
     assert log.count() == 6 and len(json.loads(log.where("tool = 'measure_intensity'").first().inputs)["image_layers"]) == 20
-    assert sorted(r.tool for r in pv.pipeline_records(log).collect()) == ["load_file", "measure_intensity", "rolling_ball_background"]
+    assert sorted(r.tool for r in pv.analysis_records(log).collect()) == ["load_file", "measure_intensity", "rolling_ball_background"]
     t = report.methods_text(log).first().markdown
     assert t.index("Raw image data were loaded; a rolling-ball background of radius 25 was removed; ") and "Manders" not in t
     assert "3 analysis operations across 3 distinct tools, total compute time 6.2 s." in t
