@@ -25,13 +25,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Iterative operators call this once per round: the plan stays short, a lost
     executor only repeats the current round, and the file sizes give the
-    optimizer true statistics for its join choice.
+    optimizer true statistics for its join choice.  ``done`` are earlier cuts that
+    only ``df`` still needed; their files are deleted after the write.
     """
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in done:
+        forget(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(*cuts: DataFrame) -> None:
+    """Delete the files of cuts that no later plan reads."""
+    for df in cuts:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from fluoroframe.plans.cut import cut
-from fluoroframe.plans.skew import hot_split_join
+from fluoroframe.plans.cut import cut, forget
 
 
 def merge_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -26,54 +24,18 @@ def merge_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-# Up to this many edges are merged by one union-find task (some tens of MB).
-ONE_TASK_EDGES = 2_000_000
-
-
-def connected(
-    edges: DataFrame,
-    keys: list[str],
-    src: str = "src",
-    dst: str = "dst",
-    one_task: int = ONE_TASK_EDGES,
-) -> DataFrame:
+def connected(edges: DataFrame, keys: list[str], src: str = "src", dst: str = "dst") -> DataFrame:
     """Smallest member of the component of every vertex that has an edge.
 
-    Returns ``keys, node, root``.  The distinct edges are written once and counted;
-    small graphs finish in one union-find pass, larger ones in distributed rounds.
+    Returns ``keys, node, root``.  One path for graphs of every size: rounds of joins
+    and partial minima over written tables.
     """
     plain = edges.select(
         *keys,
         F.least(src, dst).cast("long").alias("a"),
         F.greatest(src, dst).cast("long").alias("b"),
     )
-    plain = cut(plain.where("a < b").distinct())
-    if plain.count() <= one_task:
-        return _one_pass(plain, keys)
-    return _rounds(plain, keys)
-
-
-def _one_pass(edges: DataFrame, keys: list[str]) -> DataFrame:
-    kinds = dict(edges.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", node long, root long"
-
-    def merge(batches):
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        frame = pd.concat(parts, ignore_index=True)
-        group = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-        ends = pd.DataFrame(
-            {"g": np.tile(group, 2), "n": np.concatenate([frame["a"], frame["b"]])}
-        )
-        code, vertices = pd.factorize(pd.MultiIndex.from_frame(ends), sort=True)
-        root = merge_pairs(len(vertices), code[: len(frame)], code[len(frame) :])
-        first = pd.DataFrame({"g": group}).drop_duplicates("g").index
-        out = frame.loc[first, keys].set_axis(group[first]).loc[vertices.get_level_values(0)]
-        node = vertices.get_level_values(1).to_numpy()
-        yield out.reset_index(drop=True).assign(node=node, root=node[root])
-
-    return edges.coalesce(1).mapInPandas(merge, schema)
+    return _rounds(plain.where("a < b").distinct(), keys)
 
 
 def _rounds(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,7 +43,7 @@ def _rounds(edges: DataFrame, keys: list[str]) -> DataFrame:
     neighbours, hooks the old parent to it, and jumps one pointer; the number of
     rounds grows with the logarithm of the longest chain.  All aggregations are
     ``min`` with partial combine; the pointer jump, whose key may be one giant
-    component, goes through the hot-key split.
+    component, is a plain join that adaptive execution splits.
     """
     pairs = cut(edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
     state = cut(
@@ -104,10 +66,12 @@ def _rounds(edges: DataFrame, keys: list[str]) -> DataFrame:
         ).select(*keys, "o.node", "o.cand")
         hooked = cut(offers.groupBy(*keys, "node").agg(F.min("cand").alias("parent")))
         above = hooked.select(*keys, F.col("node").alias("up"), F.col("parent").alias("root"))
-        jumped = hot_split_join(hooked, above, [*keys, "parent"], [*keys, "up"])
+        jumped = hooked.join(above.withColumnRenamed("up", "parent"), [*keys, "parent"])
         jumped = jumped.select(*keys, "node", "root")
-        new = cut(jumped.join(state.withColumnRenamed("root", "old"), [*keys, "node"]))
+        new = cut(jumped.join(state.withColumnRenamed("root", "old"), [*keys, "node"]), hooked, state)
         changed = new.where(F.col("root") != F.col("old")).limit(1).count()
         state = new.select(*keys, "node", "root")
+        state._cut_path = new._cut_path
         if not changed:
+            forget(pairs)
             return state
