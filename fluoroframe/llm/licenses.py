@@ -139,7 +139,7 @@ t AS (SELECT license, unnest(ss) AS s, len(ss) AS n, CAST(greatest(1, pow(2, cei
              CAST(pow(2, ceil(log2(len(ss)))) AS BIGINT) AS top FROM t1),
 d AS (SELECT doc_id, unnest({shingles}) AS s, unnest(range(0, len(ws) - 4)) AS pos
       FROM (SELECT doc_id, {words.format("coalesce(text, '')")} AS ws FROM documents)),
-m AS (SELECT doc_id, license, n, s, unnest(range(greatest(0, pos - top + step + 1) // step, pos // step + 1)) * step AS wat
+m AS (SELECT doc_id, license, n, s, unnest(range(greatest(0, pos - top + 1) // step, pos // step + 1)) * step AS wat
       FROM d JOIN t USING (s)),
 w AS (SELECT doc_id, license, wat, count(DISTINCT s) / any_value(n) AS share FROM m GROUP BY ALL)
 SELECT doc_id, license, max(share) AS containment, CAST(min(wat) AS BIGINT) AS word_start
