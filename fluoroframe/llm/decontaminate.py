@@ -87,13 +87,16 @@ def find_leaks(
         return empty.select(F.col("_id").alias(id_column), "_hash", F.lit(None).cast(kind).alias(item_column), F.lit(0.0).alias("coverage"), F.lit(0).alias("slots"), F.lit(True).alias("consistent"))
     item_windows = reduce(
         DataFrame.unionByName,
-        [items.where(F.col("_n") == n).select("_item", F.posexplode_outer(_windows(n)).alias("_at", "_w")) for n in lengths],
+        [items.where(F.col("_n") == n).select("_item", "_n", F.posexplode_outer(_windows(n)).alias("_at", "_w")) for n in lengths],
     )
     item_windows = cut(item_windows)
     totals = item_windows.groupBy("_item").agg(F.count("*").alias("_total"))
-    doc_windows = words.select("_id", "_hash", F.posexplode_outer(F.concat(*[_windows(n) for n in lengths])).alias("_pos", "_w"))
+    doc_windows = words.select("_id", "_hash", F.size("_c").alias("_size"), F.posexplode_outer(F.concat(*[_windows(n) for n in lengths])).alias("_pos", "_w"))
     small = item_windows.count() <= BROADCAST_WINDOWS
     hits = doc_windows.join(F.broadcast(item_windows) if small else item_windows, "_w")
+    # the windows of each length follow those of the shorter lengths
+    skipped = [F.when(F.col("_n") > n, F.greatest(F.col("_size") - (n - 1), F.lit(0))).otherwise(0) for n in lengths]
+    hits = hits.withColumn("_pos", F.col("_pos") - reduce(lambda a, b: a + b, skipped))
     # partial sums per place first: a passage that many documents share stays a few rows of each document
     by_place = hits.groupBy("_id", "_hash", "_item", "_at").agg(F.min("_pos").alias("_pos"))
     by_item = by_place.groupBy("_id", "_hash", "_item").agg(F.count("*").alias("_got"), F.mode(F.col("_pos") - F.col("_at"), True).alias("_shift"))

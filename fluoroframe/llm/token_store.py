@@ -24,7 +24,7 @@ from fluoroframe.llm.common import filled, worker_memo
 # Bits of an id by selector; 60 // bits ids share a word.  Selector 15 is the escape.
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 16, 20, 30, 60)
 ESCAPE = 15
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
 #: Most chunks of text whose ids a worker remembers.
 CACHE_CHUNKS = 1_000_000
 SCHEMA = "shard int, block long, before long, n_ids long, doc_ids array<long>, lengths array<long>, words binary"
