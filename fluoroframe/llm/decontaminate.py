@@ -106,7 +106,12 @@ def find_leaks(
     # slots: only pairs that are left meet their texts and items again
     slotted = items.where(F.exists("_v", lambda v: v.isNotNull())).select("_item", "_c", "_v")
     pairs = held.join(slotted, "_item")
-    doc_words = words.select(F.col("_id").alias("_did"), F.col("_hash").alias("_dhash"), F.col("_c").alias("_dc"), F.col("_v").alias("_dv"))
+    # written first, so that Spark knows the size of the keys when it picks the join that meets the texts
+    keys = held.join(slotted, "_item", "left_semi").select(F.col("_id").alias("_kid"), F.col("_hash").alias("_khash")).distinct()
+    left = keyed.join(cut(keys), F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_hash") == F.col("_khash")), "left_semi")
+    doc_words = _canonical(left, "_text").select(
+        F.col("_id").alias("_did"), F.col("_hash").alias("_dhash"), F.col("_c").alias("_dc"), F.col("_v").alias("_dv")
+    )
     beside = doc_words.join(pairs, F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_hash") == F.col("_dhash")))
 
     def laid(v: Column, i: Column) -> Column:
