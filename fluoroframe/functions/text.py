@@ -239,13 +239,11 @@ def python_repr(v: Column) -> Column:
 
 
 def short_inputs(inputs: Column) -> Column:
-    """``k=value`` pairs of a JSON object, every value cut to 60 characters."""
+    """``k=value`` pairs of a JSON object, values whole."""
     values = F.try_parse_json(inputs).cast("map<string,variant>")
 
     def pair(key):
-        s = python_repr(F.try_element_at(values, key))
-        cutoff = F.when(F.length(s) > 60, F.concat(F.substring(s, 1, 57), F.lit("..."))).otherwise(s)
-        return F.concat(key, F.lit("="), cutoff)
+        return F.concat(key, F.lit("="), python_repr(F.try_element_at(values, key)))
 
     keys = F.when(values.isNotNull(), F.json_object_keys(inputs))
     return F.coalesce(F.array_join(F.transform(keys, pair), ", "), F.lit(""))
@@ -262,8 +260,3 @@ def html_escape(c: Column) -> Column:
 def no_pipes(c: Column) -> Column:
     """Table cells must not contain the column separator."""
     return F.replace(c, F.lit("|"), F.lit("/"))
-
-
-def first_items(c: Column, n: int = 20) -> Column:
-    """The first ``n`` elements of a list, as stored in the log."""
-    return F.slice(c, 1, n)

@@ -264,7 +264,7 @@ def summarize_table(
     group_by: str | None = None,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One aggregate over numeric columns, optionally per group; null groups drop out."""
+    """One aggregate over numeric columns, optionally per group; null groups drop out, null and NaN values are skipped."""
     if op not in SUMMARY_OPS:
         raise ValueError(f"op must be one of {SUMMARY_OPS}")
     if group_by and group_by not in df.columns:
@@ -275,7 +275,9 @@ def summarize_table(
     if op == "median":
         return exact_medians(rows, keys, cols)
     fn = {"mean": F.avg, "sum": F.sum, "count": F.count, "std": F.stddev_samp, "min": F.min, "max": F.max}[op]
-    aggs = [fn(F.col(f"`{c}`")).alias(c) for c in cols]
+    kinds = dict(rows.dtypes)
+    shown = lambda c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast(kinds[c])) if kinds[c] in ("double", "float") else F.col(f"`{c}`")
+    aggs = [fn(shown(c)).alias(c) for c in cols]
     return rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
 
 

@@ -21,9 +21,11 @@ BOX = (16, 256, 256)
 
 
 def packed(z: str = "z", y: str = "y", x: str = "x") -> Column:
-    """Voxel position as one number in raster order (21 bits per axis)."""
+    """Voxel position as one number in raster order, 21 bits per axis; a position beyond them is an error."""
     cols = [F.col(c).cast("long") for c in (z, y, x)]
-    return F.shiftleft(cols[0], 42) + F.shiftleft(cols[1], 21) + cols[2]
+    number = F.shiftleft(cols[0], 42) + F.shiftleft(cols[1], 21) + cols[2]
+    beyond = F.shiftright(F.greatest(*cols), 21) != 0
+    return F.when(beyond, F.raise_error(F.lit("voxel positions must be below 2097152 on every axis")).cast("long")).otherwise(number)
 
 
 def unpacked(pid: str | Column) -> list[Column]:

@@ -347,23 +347,15 @@ FROM plate GROUP BY image_id, channel"""),
 )
 add(
     "layer_summary",
-    lambda s, d: rounded(ti.layer_summary(views.vox(s, d), 4096)),
+    lambda s, d: rounded(ti.layer_summary(views.vox(s, d))),
     _with(PLATE, tail="""
-, n AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM plate),
-st AS (SELECT greatest(1, ceil(h / 64.0)) AS sy, greatest(1, ceil(w / 64.0)) AS sx, h * w > 4096 AS s FROM n),
-p AS (SELECT plate.*, s FROM plate, st WHERE NOT s OR (y % sy = 0 AND x % sx = 0))
 SELECT image_id, channel, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean,
-  round(quantile_cont(v, 0.01), 6) AS p1, round(quantile_cont(v, 0.99), 6) AS p99, any_value(s) AS sampled
-FROM p GROUP BY image_id, channel"""),
+  round(quantile_cont(v, 0.01), 6) AS p1, round(quantile_cont(v, 0.99), 6) AS p99 FROM plate GROUP BY image_id, channel"""),
 )
 add(
     "labels_summary",
-    lambda s, d: ti.labels_summary(views.labels(s, d), views.images(s, d), 4096),
-    _with(PLATE, tail="""
-, n AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM plate),
-st AS (SELECT greatest(1, ceil(h / 64.0)) AS sy, greatest(1, ceil(w / 64.0)) AS sx, h * w > 4096 AS s FROM n)
-SELECT image_id, max(label) AS n_labels_sample, any_value(s) AS sampled FROM plate, st
-WHERE NOT s OR (y % sy = 0 AND x % sx = 0) GROUP BY image_id"""),
+    lambda s, d: ti.labels_summary(views.labels(s, d), views.images(s, d)),
+    _with(PLATE, tail="SELECT image_id, max(label) AS n_labels FROM plate GROUP BY image_id"),
 )
 
 # ---------------------------------------------------------------- filters

@@ -694,13 +694,13 @@ SELECT image_id, CASE WHEN image_id > '5' THEN CASE x % 2 WHEN 0 THEN 'DAPI' ELS
 
 # ---------------------------------------------------------------- provenance and reports
 
-LOG = """log AS (SELECT event_id, ts AS timestamp, CASE event_type WHEN 'click' THEN 'rolling_ball_background' WHEN 'view' THEN 'max_projection'
-    WHEN 'purchase' THEN 'segment_neural_processes' WHEN 'signup' THEN 'list_layers' ELSE 'gaussian_denoise' END AS tool,
+LOG = """log AS (SELECT event_id, ts AS timestamp, CASE event_type WHEN 'click' THEN 'rolling_ball' WHEN 'view' THEN 'max_projection'
+    WHEN 'purchase' THEN 'segment_processes' WHEN 'signup' THEN 'list_layers' ELSE 'gaussian' END AS tool,
   replace(props, '"k"', CASE event_type WHEN 'click' THEN '"radius"' WHEN 'view' THEN '"axis"' WHEN 'purchase' THEN '"threshold"' ELSE '"sigma"' END) AS inputs,
   json_extract_string(props, '$.k') AS k, value AS duration_s, CAST(user_id AS VARCHAR) AS session_id FROM events WHERE event_type NOT IN ('error', 'signup')),
 kept AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY session_id, tool, inputs ORDER BY timestamp, event_id) = 1),
-said AS (SELECT *, CASE tool WHEN 'rolling_ball_background' THEN 'a rolling-ball background of radius ' || k || ' was removed'
-  WHEN 'max_projection' THEN 'the maximum was projected along ' || k ELSE 'processes were separated from background by threshold (' || k || ')' END AS sentence FROM kept)"""
+said AS (SELECT *, CASE tool WHEN 'rolling_ball' THEN 'the background under a rolling ball was subtracted (radius ' || k || ')'
+  WHEN 'max_projection' THEN 'the largest value along an axis was kept (axis ' || k || ')' ELSE 'foreground above a threshold was split into connected objects (threshold ' || k || ')' END AS sentence FROM kept)"""
 add(
     "analysis_records",
     lambda s, d: pv.analysis_records(views.log(s, d)).select("session_id", "tool", "inputs", "timestamp", "event_id"),
@@ -729,7 +729,7 @@ add(
     "operation_rows",
     lambda s, d: report.operation_rows(views.log(s, d)),
     _with(LOG, tail="""
-SELECT session_id, timestamp, tool, CASE tool WHEN 'rolling_ball_background' THEN 'radius=' WHEN 'max_projection' THEN 'axis=' ELSE 'threshold=' END || k AS inputs,
+SELECT session_id, timestamp, tool, CASE tool WHEN 'rolling_ball' THEN 'radius=' WHEN 'max_projection' THEN 'axis=' ELSE 'threshold=' END || k AS inputs,
   printf('%.2f', duration_s) || 's' AS time FROM kept"""),
 )
 add(

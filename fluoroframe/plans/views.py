@@ -109,11 +109,11 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     # one operation with a sentence of its own per event type, one housekeeping call
     tool = (
-        F.when(F.col("event_type") == "click", "rolling_ball_background")
+        F.when(F.col("event_type") == "click", "rolling_ball")
         .when(F.col("event_type") == "view", "max_projection")
-        .when(F.col("event_type") == "purchase", "segment_neural_processes")
+        .when(F.col("event_type") == "purchase", "segment_processes")
         .when(F.col("event_type") == "signup", "list_layers")
-        .otherwise("gaussian_denoise")
+        .otherwise("gaussian")
     )
     name = (
         F.when(F.col("event_type") == "click", "radius")

@@ -40,6 +40,12 @@ def normalise_step(name: str | None) -> str | None:
     return step
 
 
+def normalise_steps(names: str | Sequence[str] | None) -> list[str]:
+    """Canonical steps in order; one name stands for a list of one."""
+    given = [names] if names is None or isinstance(names, str) else names
+    return [step for step in map(normalise_step, given) if step]
+
+
 def preprocess_voxels(vox: DataFrame, images: DataFrame, step: str | None) -> DataFrame:
     """One preprocessing step on voxels of one channel."""
     step = normalise_step(step)
@@ -64,7 +70,7 @@ def analyze_target_cells(
     layers: DataFrame,
     channels: DataFrame,
     target: str | None = None,
-    preprocess: str | None = None,
+    preprocess: str | Sequence[str] | None = None,
     segment: Segmenter = default_segmenter,
     ndim: int = 2,
 ) -> CellAnalysis:
@@ -82,9 +88,9 @@ def analyze_target_cells(
     picked = chosen.where("status = 'ok'").select("image_id", "layer")
     mine = salted_join(vox, picked.withColumnRenamed("layer", "channel"), ["image_id", "channel"], ["t", "z", "y", "x"])
     # all images go through one plan under a common channel name
-    work = preprocess_voxels(mine.withColumn("channel", F.lit(TARGET)), images, preprocess)
-    if normalise_step(preprocess) is not None:
-        work = cut(work)
+    work, wanted = mine.withColumn("channel", F.lit(TARGET)), normalise_steps(preprocess)
+    for step in wanted:
+        work = cut(preprocess_voxels(work, images, step), work)
     labels = cut(segment(work, images))
     objects = measure_intensity(work, labels, images, [TARGET], ndim=ndim)
     objects = cut(objects.join(picked.withColumnRenamed("layer", "source_layer"), "image_id"))
@@ -100,9 +106,9 @@ def analyze_target_cells(
     uneven = F.lit(ndim == 3) & ~plain & (F.col("voxel_z") != F.col("voxel_y"))
     warn = F.array_compact(
         F.array(
-            F.when(F.col("source") == "inference", F.concat(F.lit("single image layer ("), "layer", F.lit(") was assumed as target; confirm by annotating the channel."))),
-            F.when(some & plain, F.lit("no voxel size on the target layer; physical-unit columns were not added.")),
-            F.when(some & uneven, F.lit("anisotropic voxel spacing; 3D segmentation/measurement may be biased.")),
+            F.when(F.col("source") == "inference", F.concat(F.lit("channel "), "layer", F.lit(" was taken as the target because its image has no other; annotate it to be sure"))),
+            F.when(some & plain, F.lit("every voxel size is 1, so sizes are counted in voxels; physical columns need voxel sizes")),
+            F.when(some & uneven, F.format_string("voxels are not cubes (z %s, y %s, x %s), which stretches shapes in 3-D", "voxel_z", "voxel_y", "voxel_x")),
         )
     )
     results = out.select(
@@ -112,7 +118,7 @@ def analyze_target_cells(
         F.when(~resolved, F.coalesce("note", F.lit("no layers for this image"))).when(~some, F.lit("segmentation produced zero objects on the target channel")).alias("error"),
         F.col("layer").alias("target_channel"),
         F.col("source").alias("target_source"),
-        F.lit(normalise_step(preprocess)).cast("string").alias("preprocess"),
+        F.lit(", ".join(wanted) or None).cast("string").alias("preprocess"),
         F.coalesce("n_objects", F.lit(0)).alias("n_objects"),
         "object_area_min",
         "object_area_median",
@@ -144,10 +150,9 @@ def run_recipe(
     use = samples if names is None else samples.where(F.col("sample_name").isin(list(names)))
     ids = use.select("image_id").distinct()
     steps = recipe.get("preprocessing") or []
-    step = steps[0]["step"] if steps else None
     only = lambda df: df.join(ids, "image_id", "left_semi")
     done = analyze_target_cells(
-        only(vox), only(images), only(layers), channels, recipe.get("target_channel"), step, segment, ndim
+        only(vox), only(images), only(layers), channels, recipe.get("target_channel"), [s["step"] for s in steps], segment, ndim
     )
     file_id = F.get("file_ids", F.lit(0))
     rows = use.select("sample_name", "sample_id", "group", "image_id", file_id.alias("file_id"), F.get("files", F.lit(0)).alias("_path"))

@@ -52,28 +52,16 @@ def read(spark: SparkSession, path: str, session_id: str | None = None) -> DataF
     return out if session_id is None else out.where(F.col("session_id") == session_id)
 
 
-def cap_items(json: Column, n: int = 20) -> Column:
-    """A JSON object with at most ``n`` members, lists cut to ``n`` items."""
-    entries = F.slice(F.map_entries(F.try_parse_json(json).cast("map<string,variant>")), 1, n)
-
-    def short(e):
-        v = e["value"]
-        items = F.slice(F.try_variant_get(v, "$", "array<variant>"), 1, n)
-        return F.struct(e["key"].alias("key"), F.coalesce(F.try_parse_json(F.to_json(items)), v).alias("value"))
-
-    return F.to_json(F.map_from_entries(F.transform(entries, short)))
-
-
 def append(rows: DataFrame, path: str) -> None:
-    """Append call records as JSON lines with capped inputs and outputs.
+    """Append call records as JSON lines with whole inputs and outputs.
 
     rows: timestamp, tool, inputs, output_summary (JSON strings), duration_s, ok, driver.
     """
     rows.select(
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
         "tool",
-        F.try_parse_json(cap_items(F.col("inputs"))).alias("inputs"),
-        F.try_parse_json(cap_items(F.col("output_summary"))).alias("output_summary"),
+        F.try_parse_json("inputs").alias("inputs"),
+        F.try_parse_json("output_summary").alias("output_summary"),
         "duration_s",
         "ok",
         "driver",

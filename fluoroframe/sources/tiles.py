@@ -82,7 +82,10 @@ def voxels_from_tiles(tiles: DataFrame) -> DataFrame:
 
 
 def tiles_from_voxels(vox: DataFrame, tile_h: int = 256, tile_w: int = 256) -> DataFrame:
-    """Dense voxels to tiles; a group never exceeds tile_h * tile_w pixels."""
+    """Dense voxels to tiles; a group never exceeds tile_h * tile_w pixels.
+
+    A tile with missing or repeated voxels is an error, as values are stored by place.
+    """
     keyed = vox.withColumn("ty", F.expr(f"cast(y div {tile_h} as int)")).withColumn(
         "tx", F.expr(f"cast(x div {tile_w} as int)")
     )
@@ -95,7 +98,12 @@ def tiles_from_voxels(vox: DataFrame, tile_h: int = 256, tile_w: int = 256) -> D
             (F.max("x") - F.min("x") + 1).alias("w"),
             F.sort_array(F.collect_list(F.struct("y", "x", F.col("v").cast("float").alias("v")))).alias("px"),
         )
-        .select(*TILE_KEY, "y0", "x0", "h", "w", F.col("px.v").alias("data"))
+        .select(
+            *TILE_KEY, "y0", "x0", "h", "w",
+            F.when(F.size("px") == F.col("h") * F.col("w"), F.col("px.v"))
+            .otherwise(F.raise_error(F.lit("a tile needs one voxel at every place")))
+            .alias("data"),
+        )
     )
 
 
@@ -108,61 +116,19 @@ def layer_catalog(vox: DataFrame, images: DataFrame) -> DataFrame:
     return size.join(meta, "image_id", "left").withColumn("kind", F.lit("image"))
 
 
-def _axis_steps(extent: DataFrame, max_points: int) -> DataFrame:
-    """Per-axis stride: 1 if the layer is small enough, else ceil(size / per-axis budget)."""
-    sizes = [F.col(f"n_{a}") for a in AXES]
-    ndim = sum((F.when(s > 1, 1).otherwise(0) for s in sizes), F.lit(0))
-    total = sizes[0].cast("double") * sizes[1] * sizes[2] * sizes[3]
-    budget = F.greatest(
-        F.lit(1), F.round(F.pow(F.lit(float(max_points)), F.lit(1.0) / F.greatest(F.lit(1), ndim)))
-    )
-    out = extent.withColumn("sampled", total > max_points)
-    for a in AXES:
-        step = F.greatest(F.lit(1), F.ceil(F.col(f"n_{a}") / budget)).cast("int")
-        out = out.withColumn(f"step_{a}", F.when(F.col("sampled"), step).otherwise(1))
-    return out
-
-
-def strided_sample(vox: DataFrame, max_points: int = 65536) -> DataFrame:
-    """Every step-th voxel along each axis of layers above ``max_points``."""
-    from fluoroframe.plans.skew import salted_join
-
-    extent = vox.groupBy("image_id", "channel").agg(*[(F.max(a) + 1).alias(f"n_{a}") for a in AXES])
-    steps = _axis_steps(extent, max_points).drop(*[f"n_{a}" for a in AXES])
-    joined = salted_join(vox, steps, ["image_id", "channel"], ["t", "z", "y", "x"])
-    on_grid = " AND ".join(f"{a} % step_{a} = 0" for a in AXES)
-    return joined.where(on_grid).drop(*[f"step_{a}" for a in AXES])
-
-
-def layer_summary(vox: DataFrame, max_points: int = 65536) -> DataFrame:
-    """Intensity range of the strided sample; the sample is bounded by ``max_points``
-    up to rounding, so the built-in exact percentile is safe (A31)."""
-    return (
-        strided_sample(vox, max_points)
-        .groupBy("image_id", "channel")
-        .agg(
-            F.min("v").alias("min"),
-            F.max("v").alias("max"),
-            F.avg("v").alias("mean"),
-            F.percentile("v", 0.01).alias("p1"),
-            F.percentile("v", 0.99).alias("p99"),
-            F.bool_or("sampled").alias("sampled"),
-        )
-    )
+def layer_summary(vox: DataFrame) -> DataFrame:
+    """Intensity range of every layer over all its voxels."""
+    from fluoroframe.plans.ranks import exact_percentiles
 
+    keys = ["image_id", "channel"]
+    plain = vox.groupBy(*keys).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    return plain.join(exact_percentiles(vox, keys, "v", {"p1": 0.01, "p99": 0.99}), keys, "left")
 
-def labels_summary(labels: DataFrame, images: DataFrame, max_points: int = 65536) -> DataFrame:
-    """Largest label on the strided grid of a labels layer."""
-    from fluoroframe.plans.skew import salted_join
 
-    extent = images.select("image_id", *[F.col(s).alias(f"n_{a}") for a, s in AXES.items()])
-    steps = _axis_steps(extent, max_points)
-    joined = salted_join(labels, steps, ["image_id"], ["t", "z", "y", "x"])
-    on_grid = " AND ".join(f"{a} % step_{a} = 0" for a in AXES)
-    seen = joined.where(on_grid).groupBy("image_id").agg(F.max("label").alias("_m"))
-    return steps.join(seen, "image_id", "left").select(
-        "image_id", F.coalesce("_m", F.lit(0)).alias("n_labels_sample"), "sampled"
-    )
+def labels_summary(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """Largest label of every image over all its voxels, 0 without labels."""
+    seen = labels.groupBy("image_id").agg(F.max("label").alias("_m"))
+    return images.select("image_id").join(seen, "image_id", "left").select("image_id", F.coalesce("_m", F.lit(0)).alias("n_labels"))
 
 
 def extract_timepoint(vox: DataFrame, t: int, images: DataFrame | None = None) -> DataFrame:

@@ -67,7 +67,7 @@ def test_text_functions(spark):
     with pytest.raises(Exception, match="unknown preprocess"):
         one(spark, text.preprocess_step(F.col("a")), a="sharpen")
     short = one(spark, text.short_inputs(F.col("a")), a=json.dumps({"z": "q" * 80, "b": True, "n": None, "a": 5}))
-    assert short == "z='" + "q" * 56 + "..., b=True, n=None, a=5"
+    assert short == "z='" + "q" * 80 + "', b=True, n=None, a=5"
     pad = text.pad_channels(F.lit(None).cast("array<struct<name:string,excitation_wavelength_nm:double,emission_wavelength_nm:double,color:string>>"), F.lit(2), F.array(F.col("a")))
     assert [(c.name, c.color) for c in one(spark, pad, a="DAPI")] == [("DAPI", "uv"), (None, None)]
 
@@ -155,15 +155,15 @@ def test_provenance_log_and_report(spark, tmp_path):
     def rec(sec, tool, inputs, ok=True, dur=1.0):
         return (f"2024-01-01 00:00:0{sec}", tool, json.dumps(inputs), None, dur, ok, "test")
 
-    calls = [rec(0, "load_file", {"path": "a"}), rec(1, "rolling_ball_background", {"radius": 25}, dur=4.2), rec(2, "rolling_ball_background", {"radius": 25}), rec(3, "manders_coefficients", {"image_a": "A"}, False), rec(4, "screenshot", {}), rec(5, "measure_intensity", {"image_layers": list(range(30))})]
+    calls = [rec(0, "register_files", {"path": "a"}), rec(1, "rolling_ball", {"radius": 25}, dur=4.2), rec(2, "rolling_ball", {"radius": 25}), rec(3, "manders", {"image_a": "A"}, False), rec(4, "screenshot", {}), rec(5, "measure_intensity", {"image_layers": list(range(30))})]
     rows = spark.createDataFrame(calls, "timestamp string, tool string, inputs string, output_summary string, duration_s double, ok boolean, driver string")
     pv.append(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp")).coalesce(1), str(tmp_path / "log"))
     (tmp_path / "log" / "broken.json").write_text("\nnot json\n")
     log = pv.read(spark, str(tmp_path / "log")).withColumn("session_id", F.lit("s"))
-    assert log.count() == 6 and len(json.loads(log.where("tool = 'measure_intensity'").first().inputs)["image_layers"]) == 20
-    assert sorted(r.tool for r in pv.analysis_records(log).collect()) == ["load_file", "measure_intensity", "rolling_ball_background"]
+    assert log.count() == 6 and len(json.loads(log.where("tool = 'measure_intensity'").first().inputs)["image_layers"]) == 30
+    assert sorted(r.tool for r in pv.analysis_records(log).collect()) == ["measure_intensity", "register_files", "rolling_ball"]
     t = report.methods_text(log).first().markdown
-    assert t.index("Raw image data were loaded; a rolling-ball background of radius 25 was removed; ") and "Manders" not in t
+    assert t.index("Files were listed and registered (path a); the background under a rolling ball was subtracted (radius 25); ") and "overlap" not in t
     assert "3 analysis operations across 3 distinct tools, total compute time 6.2 s." in t
     nothing = report.methods_text(log.where("tool = 'screenshot'")).first().markdown
     assert "No analytical operations" in nothing
