@@ -10,12 +10,14 @@ decodes any block alone, with array operations and without a loop over ids.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -27,6 +29,8 @@ ESCAPE = 15
 BLOCK_IDS = 1 << 18
 #: Most chunks of text whose ids a worker remembers.
 CACHE_CHUNKS = 1_000_000
+#: Texts cut and gathered at a time.
+ROWS = 1024
 SCHEMA = "shard int, block long, before long, n_ids long, doc_ids array<long>, lengths array<long>, words binary"
 
 
@@ -123,19 +127,19 @@ class ByteLevelEncoder:
     """Ids of texts from a byte-level tokenizer file of the tokenizers library.
 
     Such a tokenizer never joins across a space or line end between two visible
-    characters, nor a letter with a last comma or full stop.  A text is cut there
-    and the ids of each chunk are remembered.  Texts with other runs of white space,
-    or with the brackets of special tokens, go to the library whole.
+    characters, nor a letter with a last comma or full stop.  Texts are cut there, and
+    the ids of each different chunk are remembered in one array; a text gathers the
+    spans of its chunks.  Texts with other runs of white space, or with the brackets of
+    special tokens, hold an odd chunk and go to the library whole.
     """
 
-    _runs = (*[a + b for a in " \n" for b in " \n\t\r\v\f\x1c\x1d\x1e\x1f"], "\t\n", "\r\n", "\v\n", "\f\n", "<|", "\0")
-    _wide = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    # white space next to a cut, the brackets of special tokens, wide or rare white space
+    _odd = "^ ?([\t\v\f\r]|$)|[\t\v\f\r]$|<\\||[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
         self.most = cache_chunks
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         size = max(vocabulary.values()) + 1
@@ -143,54 +147,85 @@ class ByteLevelEncoder:
         # the vocabulary writes the bytes of a space and of a line end as these letters
         self.spaces[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.lines[[i for t, i in vocabulary.items() if t == "Ċ"]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """No chunk known; place 0 stands for every odd chunk."""
+        self.places: dict[str, int] = {}
+        self.flat = np.zeros(0, dtype="<u4")
+        self.starts, self.sizes = np.zeros(1, dtype=np.int64), np.full(1, -1, dtype=np.int64)
+        line = self._ids("\n")
+        self._keep(["\n"], line, np.zeros(1, dtype=np.int64), np.full(1, len(line)))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _odd(self, text: str) -> bool:
-        ends = text[:1].isspace() or text[-1:].isspace()
-        return ends or any(r in text for r in self._runs) or not text.isascii() and bool(self._wide.search(text))
-
-    def _learn(self, new: set[str]) -> None:
-        known, tails = self.known, {}
-        for c in new:
-            if c[-1] in ".," and c[-2:-1].isalpha():
-                tails[c] = c[:-1]
-        wanted = [c for c in {*(new - tails.keys()), *tails.values(), ".", ","} if c not in known]
+    def _keep(self, chunks: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the spans of ``ids`` that belong to chunks."""
+        self.places.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + starts])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _spans(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known chunks one after another, and where each ends."""
+        sizes = np.maximum(self.sizes[places], 0)
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(ends[-1])], ends
+
+    def _learn(self, new: np.ndarray) -> None:
+        odd = pc.match_substring_regex(pa.array(new, pa.large_string()), self._odd).to_numpy(zero_copy_only=False)
+        self.places.update(dict.fromkeys(new[odd], 0))
+        plain = new[~odd].tolist()
+        tails = {c: c[:-1] for c in plain if c[-1] in ".," and c[-2:-1].isalpha()}
+        wanted = {c for c in (*tails.values(), ".", ",") if c not in self.places}
+        wanted.update(c for c in plain if c not in tails)
         for opened in (True, False):
             some = [c for c in wanted if (c[0] == " ") == opened and c != "\n"]
-            marks, glue = (self.spaces, "") if opened else (self.lines, "\n")
-            for at in range(0, len(some), 4096):
-                part = some[at : at + 4096]
+            marks, glue, skip = (self.spaces, "", 0) if opened else (self.lines, "\n", 1)
+            for at in range(0, len(some), 32768):
+                part = some[at : at + 32768]
                 ids = self._ids(glue + glue.join(part))
                 starts = np.nonzero(marks[ids])[0]
                 if len(starts) == len(part) and starts[0] == 0:
-                    data, after = ids.tobytes(), 0 if opened else 4
-                    cuts = [*(starts * 4).tolist(), len(ids) * 4]
-                    known.update((c, data[a + after : b]) for c, a, b in zip(part, cuts, cuts[1:]))
-                else:
-                    known.update((c, self._ids(c).tobytes()) for c in part)
-        known["\n"] = self._ids("\n").tobytes()
-        known.update((c, known[base] + known[c[-1]]) for c, base in tails.items())
+                    begins = starts + skip
+                    sizes = np.diff(starts, append=len(ids)) - skip
+                else:  # some id looks like a mark: one call per chunk
+                    each = [self._ids(c) for c in part]
+                    ids, sizes = np.concatenate(each), np.array([len(e) for e in each])
+                    begins = np.cumsum(sizes) - sizes
+                self._keep(part, ids, begins, sizes)
+        if tails:
+            at = self.places.__getitem__
+            both = np.array([p for c, base in tails.items() for p in (at(base), at(c[-1]))])
+            ids, ends = self._spans(both)
+            ends = ends[1::2]
+            sizes = np.diff(ends, prepend=0)
+            self._keep(list(tails), ids, ends - sizes, sizes)
+
+    def _gather(self, texts: list[str]) -> list[bytes]:
+        # a text with the separator itself becomes two empty chunks, which are odd
+        cut = ["\0" if "\0" in t else t.replace("\n", "\0\n\0").replace(" ", "\0 ") for t in texts]
+        lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\0")
+        coded = lists.values.dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False)
+        mine = np.fromiter(map(self.places.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        new = chunks[mine < 0]
+        if len(new):
+            if len(self.places) + len(new) > self.most:
+                self._forget()
+                new, mine = chunks, np.full(len(chunks), -1)
+            self._learn(new)
+            mine[mine < 0] = np.fromiter(map(self.places.__getitem__, new), dtype=np.int64, count=len(new))
+        at, first = mine[coded.indices.to_numpy()], lists.offsets.to_numpy()
+        odd = np.logical_or.reduceat(self.sizes[at] < 0, first[:-1])
+        ids, ends = self._spans(at)
+        data, cuts = memoryview(ids.tobytes()), (4 * np.concatenate([[0], ends])[first]).tolist()
+        return [self._ids(t).tobytes() if o else bytes(data[a:b]) for t, o, a, b in zip(texts, odd, cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, per text."""
-        out = []
-        for at in range(0, len(texts), 256):
-            some = texts[at : at + 256]
-            cut = [None if self._odd(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in some]
-            rest = set().union(*(c for c in cut if c))
-            rest.discard("")
-            new = rest.difference(self.known)
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = rest
-            if new:
-                self._learn(new)
-            get = self.known.__getitem__
-            self.known[""] = b""
-            out += [self._ids(t).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(some, cut)]
-        return out
+        return [ids for at in range(0, len(texts), ROWS) for ids in self._gather(texts[at : at + ROWS])]
 
 
 def write_store(
@@ -225,8 +260,8 @@ def write_store(
 
         for frame in batches:
             keys = [None if pd.isna(k) else int(k) for k in frame["id"]]
-            for at in range(0, len(frame), 256):
-                for key, one in zip(keys[at : at + 256], encoder.encode(frame["text"].iloc[at : at + 256].tolist())):
+            for at in range(0, len(frame), ROWS):
+                for key, one in zip(keys[at : at + ROWS], encoder.encode(frame["text"].iloc[at : at + ROWS].tolist())):
                     ids.append(key)
                     data.append(one + tail)
                     size += len(one) // 4 + 1
