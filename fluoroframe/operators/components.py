@@ -17,7 +17,7 @@ from fluoroframe.plans.blocks import (
 from fluoroframe.plans.cut import cut
 from fluoroframe.plans.graph import connected, merge_pairs
 from fluoroframe.plans.ranks import number_rows
-from fluoroframe.plans.skew import hot_split_join, salted_join
+from fluoroframe.plans.skew import join_renamed, salted_join
 from fluoroframe.sources.tiles import VOXEL_KEY
 
 FRAME = ["image_id", "t"]
@@ -80,7 +80,7 @@ def _number(parts: DataFrame) -> DataFrame:
     sizes = sizes.withColumns({"_z": z, "_y": y, "_x": x})
     numbered = number_rows(sizes, FRAME, ["_z", "_y", "_x"], "label", start=1)
     small = numbered.select(*FRAME, F.col("root").alias("r"), F.col("label").cast("int").alias("label"), "size")
-    return hot_split_join(parts, small, [*FRAME, "root"], [*FRAME, "r"])
+    return join_renamed(parts, small, [*FRAME, "root"], [*FRAME, "r"])
 
 
 def label_components(
@@ -105,7 +105,7 @@ def remove_small(
     else:
         keep = sizes.where(F.col("size") >= int(min_pixels))
     keep = keep.select(*FRAME, F.col("root").alias("r"))
-    kept = hot_split_join(parts, keep, [*FRAME, "root"], [*FRAME, "r"])
+    kept = join_renamed(parts, keep, [*FRAME, "root"], [*FRAME, "r"])
     return vox.join(kept.select(*FRAME, "local"), [*FRAME, "local"], "left_semi").select(*VOXEL_KEY)
 
 
@@ -158,7 +158,7 @@ def fill_holes(
     edge = ends.where(" OR ".join(f"{a} = 0 OR {a} = size_{a} - 1" for a in axes))
     open_parts = parts.join(edge.select(*FRAME, "local").distinct(), [*FRAME, "local"], "left_semi")
     open_roots = open_parts.select(*FRAME, F.col("root").alias("r")).distinct()
-    reached = hot_split_join(parts, open_roots, [*FRAME, "root"], [*FRAME, "r"]).select(*FRAME, "local")
+    reached = join_renamed(parts, open_roots, [*FRAME, "root"], [*FRAME, "r"]).select(*FRAME, "local")
     closed = parts.join(reached, [*FRAME, "local"], "left_anti").select(*FRAME, "local")
     holes = vox.join(closed, [*FRAME, "local"], "left_semi").select(*VOXEL_KEY)
     return mask.select(*VOXEL_KEY).unionByName(holes)

@@ -89,16 +89,21 @@ def measure_intensity_tiles(
 ) -> DataFrame:
     """``measure_intensity`` on tiles: join on the tile key, then unpack both arrays.
 
-    The label tiles share the tiling of the image; their data are label numbers.
+    The label tiles share the tiling of the image; their data are label numbers.  A
+    labelled tile without an image tile of a wanted channel is an error.
     """
     if not channels:
         raise ValueError("channels must be a non-empty list of channel names")
     props = _check_properties(properties or OBJECT_PROPERTIES) or ["area"]
     key = ["image_id", "t", "z", "ty", "tx"]
-    lab = label_tiles.select(*key, F.col("data").alias("_lab"))
-    both = tiles.where(F.col("channel").isin(list(channels))).join(lab, key)
+    lab = label_tiles.where(F.exists("data", lambda v: v > 0)).select(
+        *key, F.col("data").alias("_lab"), F.explode(F.array(*[F.lit(c) for c in channels])).alias("channel")
+    )
+    both = lab.join(tiles.where(F.col("channel").isin(list(channels))), [*key, "channel"], "left")
     mismatch = F.raise_error(F.lit("shape mismatch: label tile and image tile differ in size"))
-    zipped = F.when(F.size("data") == F.size("_lab"), F.arrays_zip("_lab", "data")).otherwise(mismatch)
+    absent = F.raise_error(F.lit("shape mismatch: label tile without image tile"))
+    fits = F.when(F.size("data") == F.size("_lab"), F.arrays_zip("_lab", "data")).otherwise(mismatch)
+    zipped = F.when(F.col("data").isNull(), absent).otherwise(fits)
     pix = both.select(
         "image_id", "channel", "z", "y0", "x0", "w", F.posexplode(zipped).alias("i", "p")
     ).where("p._lab > 0")

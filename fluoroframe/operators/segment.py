@@ -21,7 +21,7 @@ from fluoroframe.operators.threshold import above_threshold, resolve_threshold
 from fluoroframe.plans.cut import cut
 from fluoroframe.plans.graph import connected
 from fluoroframe.plans.ranks import number_rows, weighted_median
-from fluoroframe.plans.skew import hot_split_join, salted_join
+from fluoroframe.plans.skew import join_renamed, salted_join
 from fluoroframe.sources.tiles import VOXEL_KEY, tiles_from_voxels
 
 
@@ -197,7 +197,7 @@ def segment_with_model(
     )
     numbered = number_rows(objects, FRAME, ["_z", "_y", "_x"], "label", start=1)
     numbered = numbered.select(*FRAME, F.col("root").alias("r"), F.col("label").cast("int").alias("label"))
-    named = hot_split_join(parts, numbered, [*FRAME, "root"], [*FRAME, "r"]).select(*FRAME, "local", "label")
+    named = join_renamed(parts, numbered, [*FRAME, "root"], [*FRAME, "r"]).select(*FRAME, "local", "label")
     labels = pix.join(named, [*FRAME, "local"]).select(*VOXEL_KEY, "label")
     return labels, label_qc(labels, images)
 

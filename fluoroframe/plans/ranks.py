@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fluoroframe.plans.cut import cut
-from fluoroframe.plans.skew import ONE_TASK_ROWS, salted_join
+from fluoroframe.plans.skew import salted_join
 
 # Largest group for which Spark's own exact percentile (a value -> count map held
 # in memory) is used; larger groups are narrowed first.
@@ -152,18 +152,15 @@ def weighted_median(counts: DataFrame, keys: list[str], value: str, weight: str,
 
 
 def number_rows(
-    df: DataFrame, keys: list[str], levels: list[str], name: str, start: int = 0, one_task: int = ONE_TASK_ROWS
+    df: DataFrame, keys: list[str], levels: list[str], name: str, start: int = 0
 ) -> DataFrame:
     """Dense numbering of rows per key in the order of ``levels``.
 
-    Tables that one task can hold are numbered by one window.  Otherwise counts are cumulated level by level (planes, then rows, then columns), so no
+    Counts are cumulated level by level (planes, then rows, then columns), so no
     window holds more rows than one axis is long, times the rows sharing all but
     the last level.
     """
     df = cut(df)
-    if df.count() <= one_task:
-        w = Window.partitionBy(*keys).orderBy(*levels)
-        return df.withColumn(name, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
     out = df.withColumn("_off", F.lit(0).cast("long"))
     prefix: list[str] = list(keys)
     for level in levels[:-1]:

@@ -6,14 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key holding more than this share of the rows counts as hot, so there are
-# never more than 1 / HOT_SHARE hot keys and a table of them is safe to broadcast.
-HOT_SHARE = 0.001
-
-# Up to this many rows one task may hold a whole key without harm.
-ONE_TASK_ROWS = 1_000_000
-
-
 def _salts(df: DataFrame) -> int:
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(2, min(256, wanted))
@@ -39,31 +31,13 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def hot_split_join(
-    big: DataFrame,
-    small: DataFrame,
-    big_keys: list[str],
-    small_keys: list[str],
-) -> DataFrame:
-    """Inner join of ``big`` with ``small`` (one row per key, any size).
+def join_renamed(big: DataFrame, small: DataFrame, big_keys: list[str], small_keys: list[str]) -> DataFrame:
+    """Inner join on keys of different names; key columns of ``small`` are dropped.
 
-    ``big`` is counted first; if one task could take all of it, a plain join is
-    enough.  Otherwise rows of hot keys meet a broadcast copy of at most 1 / HOT_SHARE rows, all
-    others go through an ordinary shuffle join.  ``big`` is read several times, so
-    pass a written table.  Key columns of ``small`` are dropped.
+    A plain join: adaptive execution splits the partition of a key that holds many
+    rows of ``big``, as ``small`` has one row per key.
     """
     names = [f"_k{i}" for i in range(len(small_keys))]
-    right = small
-    for old, new in zip(small_keys, names):
-        right = right.withColumnRenamed(old, new)
+    right = small.withColumnsRenamed(dict(zip(small_keys, names)))
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(n) for k, n in zip(big_keys, names)])
-    if big.count() <= ONE_TASK_ROWS:
-        return big.join(right, on, "inner").drop(*names)
-    counts = big.groupBy(*[F.col(k).alias(n) for k, n in zip(big_keys, names)]).count()
-    total = counts.agg(F.sum("count").alias("_total"))
-    limit = total.select(F.greatest(F.lit(64.0), F.col("_total") * HOT_SHARE)).scalar()
-    hot = counts.where(F.col("count") > limit).select(*names)
-    hot_right = right.join(F.broadcast(hot), names, "left_semi")
-    hot_rows = big.join(F.broadcast(hot_right), on, "inner")
-    cold_rows = big.join(F.broadcast(hot), on, "left_anti").join(right, on, "inner")
-    return hot_rows.unionByName(cold_rows).drop(*names)
+    return big.join(right, on, "inner").drop(*names)

@@ -77,7 +77,7 @@ def analyze_target_cells(
     """Resolve, preprocess, segment and measure the target channel of every image.
 
     Failures are rows of ``results``, never exceptions: an ambiguous channel stops at
-    stage resolve_target, an image without objects at stage segment.
+    stage resolve_target, a movie or an image without objects at stage segment.
     """
     if target is None:
         chosen = resolve_target(layers, channels)
@@ -85,7 +85,8 @@ def analyze_target_cells(
         asked = layers.select("image_id").distinct().select("image_id", F.col("image_id").alias("request_id"), F.lit(target).alias("query"))
         chosen = resolve_target(layers, channels, asked).drop("request_id", "query")
     chosen = cut(chosen)
-    picked = chosen.where("status = 'ok'").select("image_id", "layer")
+    still = images.where("coalesce(size_t, 1) <= 1").select("image_id")
+    picked = chosen.where("status = 'ok'").select("image_id", "layer").join(still, "image_id", "left_semi")
     mine = salted_join(vox, picked.withColumnRenamed("layer", "channel"), ["image_id", "channel"], ["t", "z", "y", "x"])
     # all images go through one plan under a common channel name
     work, wanted = mine.withColumn("channel", F.lit(TARGET)), normalise_steps(preprocess)
@@ -95,9 +96,10 @@ def analyze_target_cells(
     objects = measure_intensity(work, labels, images, [TARGET], ndim=ndim)
     objects = cut(objects.join(picked.withColumnRenamed("layer", "source_layer"), "image_id"))
     found = label_qc(labels)
-    out = images.select("image_id", *[F.col(f"voxel_{a}").cast("double").alias(f"voxel_{a}") for a in "zyx"])
+    out = images.select("image_id", "size_t", *[F.col(f"voxel_{a}").cast("double").alias(f"voxel_{a}") for a in "zyx"])
     out = out.join(chosen, "image_id", "left").join(found, "image_id", "left")
     resolved = F.coalesce(F.col("status") == "ok", F.lit(False))
+    moving = F.coalesce(F.col("size_t") > 1, F.lit(False))
     some = F.coalesce(F.col("n_objects") > 0, F.lit(False))
     scale = [F.col(f"voxel_{a}") for a in ("zyx" if ndim == 3 else "yx")]
     plain = F.lit(True)
@@ -115,7 +117,7 @@ def analyze_target_cells(
         "image_id",
         (resolved & some).alias("ok"),
         F.when(~resolved, "resolve_target").when(~some, "segment").alias("stage"),
-        F.when(~resolved, F.coalesce("note", F.lit("no layers for this image"))).when(~some, F.lit("segmentation produced zero objects on the target channel")).alias("error"),
+        F.when(~resolved, F.coalesce("note", F.lit("no layers for this image"))).when(moving, F.lit("the image is a movie; keep one frame with extract_timepoint first")).when(~some, F.lit("segmentation produced zero objects on the target channel")).alias("error"),
         F.col("layer").alias("target_channel"),
         F.col("source").alias("target_source"),
         F.lit(", ".join(wanted) or None).cast("string").alias("preprocess"),

@@ -201,6 +201,9 @@ def test_recipe_isolates_failures(spark):
     one_ = wf.analyze_target_cells(vox, img, lay, none, "r", "auto_contrast")
     ok = {r.image_id: (r.ok, r.preprocess) for r in one_.results.collect()}
     assert ok["c"] == (True, "auto_contrast") and ok["a"][0] is False
+    films = img.withColumn("size_t", F.when(F.col("image_id") == "c", 2).otherwise(F.col("size_t")))
+    film = wf.analyze_target_cells(vox, films, lay, none, "r").results.where("image_id = 'c'").first()
+    assert (film.ok, film.stage, film.n_objects) == (False, "segment", 0) and "movie" in film.error
     with pytest.raises(ValueError):
         wf.normalise_step("sharpen")
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from helpers import frame, images, labels, movie, two_squares, voxels
 
 from fluoroframe.operators import measure as me
@@ -114,3 +115,13 @@ def test_lookup_and_sample_columns(spark):
     smp = spark.createDataFrame([("a", "s", "ctl")], "image_id string, sample_name string, `group` string")
     out = me.attach_sample_columns(obj.withColumnRenamed("label", "group"), smp)
     assert out.columns.count("group") == 1 and out.first().sample_name == "s"
+
+
+def test_label_tile_needs_an_image_tile(spark):
+    schema = "image_id string, t int, z int, ty int, tx int, y0 int, x0 int, h int, w int, data array<float>"
+    tile = ("a", 0, 0, 0, 0, 0, 0, 1, 2)
+    labels = spark.createDataFrame([(*tile, [5.0, 0.0])], schema)
+    image = spark.createDataFrame([(*tile, [7.0, 1.0])], schema).withColumn("channel", F.lit("red"))
+    assert me.measure_intensity_tiles(image, labels, channels=["red"]).first().mean_intensity_red == 7.0
+    with pytest.raises(Exception, match="without image tile"):
+        me.measure_intensity_tiles(image, labels, channels=["red", "green"]).collect()

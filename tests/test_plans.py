@@ -51,11 +51,10 @@ def test_percentiles_equal_numpy(spark, limit):
         assert np.allclose([got[k].lo, got[k].mid, got[k].hi], np.percentile(v, [1, 50, 99.5]))
 
 
-@pytest.mark.parametrize("one_task", [10**6, 0])
-def test_numbering_follows_the_levels(spark, one_task):
+def test_numbering_follows_the_levels(spark):
     rows = [("a", z, y, x) for z in range(2) for y in range(4) for x in range(z, 7, 2)]
     df = spark.createDataFrame(rows[::-1], "k string, z int, y int, x int")
-    got = number_rows(df, ["k"], ["z", "y", "x"], "id", one_task=one_task).orderBy("z", "y", "x").collect()
+    got = number_rows(df, ["k"], ["z", "y", "x"], "id").orderBy("z", "y", "x").collect()
     assert [r.id for r in got] == list(range(len(rows)))
 
 
@@ -64,11 +63,10 @@ def test_weighted_median(spark):
     assert weighted_median(df, ["k"], "v", "n", "m").first().m == 5
 
 
-def test_hot_key_join_equals_plain_join(spark, monkeypatch):
-    monkeypatch.setattr(skew, "ONE_TASK_ROWS", 0)
+def test_join_of_renamed_keys_equals_plain_join(spark):
     big = cut(spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "k long, i long"))
     small = spark.createDataFrame([(k, k * 10) for k in range(0, 3000, 2)] + [(1, 10)], "k long, w long")
-    got = skew.hot_split_join(big, small, ["k"], ["k"])
+    got = skew.join_renamed(big, small, ["k"], ["k"])
     want = big.join(small, "k").select("k", "i", "w")
     assert sorted(map(tuple, got.select("k", "i", "w").collect())) == sorted(map(tuple, want.collect()))
 
