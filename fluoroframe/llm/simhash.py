@@ -10,6 +10,12 @@ Inside the buckets no pairs are formed.  Two fingerprints differ in at most two
 bits exactly if they share a centre, a value at most one bit away from both.  At
 most 65 fingerprints share one centre, so the groups are small however large a
 bucket is, the work is linear, and no verification is needed.
+
+Two bits find copies and slight changes, but texts with a shingle similarity of 0.8
+lie up to some 15 bits apart, where covering masks are no longer selective.
+``keep_one`` therefore can add smallest-hash slots of the same shingles: texts of
+different components that share a band of slots are compared with one text of the
+band by their exact shingle sets, in turns until none finds a link.
 """
 
 from __future__ import annotations
@@ -26,6 +32,10 @@ from fluoroframe.plans.cut import cut
 from fluoroframe.plans.graph import connected
 
 BITS = 64
+#: Bands of smallest-hash slots; a pair of similarity 0.8 shares none with a chance of (1 - 0.8^5)^32 < 0.00001.
+BANDS, SLOTS = 32, 5
+#: Comparisons with one text that share a copy of it.
+MATES = 128
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -34,15 +44,27 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     Only A-Z are lower-cased and words end at space, tab, line feed, vertical tab,
     form feed and carriage return, which is what these methods of bytes do.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+    return _majority(_hashes(text, shingle, seed))
+
+
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _hashes(text: str, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included."""
+    words = _words(text)
     if len(words) < shingle:
-        parts = [b" ".join(words)]
+        parts = [b" ".join(words)] if words else []
     else:
         parts = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(p, seed) for p in parts), dtype="<u8")
+    return np.fromiter((digest(p, seed) for p in parts), dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -50,6 +72,27 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def bands(hashes: np.ndarray, seed: int = 42) -> list[int]:
+    """One signed 64-bit value per band of smallest-hash slots; none without shingles."""
+    if not len(hashes):
+        return []
+    random = np.random.default_rng(seed)
+    factors = random.integers(0, 1 << 32, BANDS * SLOTS, dtype=np.uint32) | np.uint32(1)
+    shifts = random.integers(0, 1 << 32, BANDS * SLOTS, dtype=np.uint32)
+    low = np.full(BANDS * SLOTS, 0xFFFFFFFF, dtype=np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 1024):
+        np.minimum(low, (short[at : at + 1024, None] * factors + shifts).min(axis=0), out=low)
+    rows = low.reshape(BANDS, SLOTS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), seed) for r in rows], dtype=np.uint64).view(np.int64).tolist()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingle hashes, each sorted without repeats; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
 def fingerprint_column(text: Column, shingle: int = 3, seed: int = 42) -> Column:
     """Fingerprints as signed 64-bit integers; null text counts as empty."""
 
@@ -126,19 +169,102 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = 2, shingle: int = 5) -> DataFrame:
+def _sketched(text: Column, shingle: int, seed: int = 42) -> Column:
+    """``f`` (fingerprint), ``key`` (of the word sequence) and ``bands`` of each text."""
+
+    @F.pandas_udf("f long, key string, bands array<long>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            hashes = [_hashes(t, shingle, seed) for t in texts]
+            prints = np.fromiter(map(_majority, hashes), dtype=np.uint64, count=len(hashes)).view(np.int64)
+            keys = [xxhash.xxh3_128_hexdigest(b" ".join(_words(t))) for t in texts]
+            yield pd.DataFrame({"f": prints, "key": keys, "bands": [bands(np.unique(h)) for h in hashes]})
+
+    return sketch(filled(text))
+
+
+def _similar(a: Column, b: Column, shingle: int, seed: int = 42) -> Column:
+    @F.pandas_udf("double")
+    def measured(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            values, last, other = [], None, None
+            for x, y in zip(left, right):
+                if y != last:  # rows of one pivot often follow each other
+                    last, other = y, np.unique(_hashes(y, shingle, seed))
+                values.append(similarity(np.unique(_hashes(x, shingle, seed)), other))
+            yield pd.Series(values, dtype=float)
+
+    return measured(a, b)
+
+
+def _close(texts: DataFrame, bodies: DataFrame, shingle: int, least: float, turn: int) -> DataFrame:
+    """``src, dst``: components of ``texts`` (key, component, bands) that hold texts of at least that similarity.
+
+    A text meets one text of each of its bands, never all others, so the work stays linear in a large band; ``turn``
+    changes which one.  ``bodies`` (key, text) has the texts of bands with several components.
+    """
+    spread = texts.select("key", "component", F.posexplode("bands").alias("band", "slot"))
+    chance = F.xxhash64("key", F.lit(turn)).alias("chance")
+    first = spread.groupBy("band", "slot").agg(
+        F.min(F.struct(chance, "component", "key")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    first = first.where("low <> high").select("band", "slot", F.col("p.component").alias("src"), F.col("p.key").alias("pivot"))
+    met = spread.join(first, ["band", "slot"]).where("component <> src")
+    pairs = cut(met.select("key", F.col("component").alias("dst"), "pivot", "src").distinct())
+    # a pivot with many mates is laid out once per MATES of them
+    copies = cut(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / MATES).cast("int").alias("copies")))
+    salted = pairs.join(copies, "pivot").withColumn("copy", F.pmod(F.xxhash64("key"), F.col("copies")).cast("int"))
+    pivots = copies.join(bodies.withColumnRenamed("key", "pivot").withColumnRenamed("text", "other"), "pivot")
+    pivots = pivots.select("pivot", "other", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    beside = salted.join(bodies, "key").join(pivots, ["pivot", "copy"])
+    alike = beside.select("src", "dst", _similar(F.col("text"), F.col("other"), shingle).alias("s")).where(F.col("s") >= least)
+    return alike.select("src", "dst").distinct()
+
+
+def _merged(placed: DataFrame, marked: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``placed`` (fingerprint, first, component) with the components of similar texts made one; ``marked`` has
+    f, key, bands, text and place (a value of its own, so that copies of a text do not share a join key) of every row."""
+    texts = marked.groupBy("key").agg(F.first("f").alias("fingerprint"), F.first("bands").alias("bands"), F.min("place").alias("place"))
+    texts = cut(texts.join(placed.select("fingerprint", "component"), "fingerprint").select("key", "component", "bands", "place"))
+    spread = texts.select("key", "place", "component", F.posexplode("bands").alias("band", "slot"))
+    several = spread.groupBy("band", "slot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    wanted = cut(spread.join(several, ["band", "slot"], "left_semi").select("key", "place").distinct())
+    bodies = cut(marked.select("place", "text").join(wanted, "place").dropDuplicates(["key"]).select("key", "text"))
+    turn = 0
+    while True:
+        found = cut(_close(texts, bodies, shingle, least, turn))
+        if not found.limit(1).count():
+            return placed
+        more = cut(connected(found, []).select(F.col("node").alias("component"), "root"))
+        placed, texts = (
+            cut(df.join(more, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"), df) for df in (placed, texts)
+        )
+        turn += 1
+
+
+def keep_one(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = 2, shingle: int = 5, least: float | None = None
+) -> DataFrame:
     """The rows of ``docs`` without near-duplicates, columns unchanged.
 
-    Of each component the row with the smallest id stays (null ids last, then the smallest text hash); of rows equal
-    in both one stays.
+    Fingerprints within ``radius`` bits are linked, and, if ``least`` is given, so are texts whose sets of word
+    shingles have a similarity of ``least`` or more with the text picked for a shared band, in turns until one finds no
+    new link.  Of each component the row with the smallest id stays (null ids last, then the smallest text hash); of
+    rows equal in both one stays.  Null texts count as empty.
     """
-    mark, order, part = free_name(docs, "_mark"), free_name(docs, "_order"), free_name(docs, "_part")
+    mark, order = free_name(docs, "_mark"), free_name(docs, "_order")
     rank = F.struct(
         F.col(f"`{id_column}`").isNull().alias("a"), F.col(f"`{id_column}`").alias("b"), F.xxhash64(filled(text_column)).alias("c")
     )
-    marked = cut(docs.withColumn(mark, fingerprint_column(F.col(f"`{text_column}`"), shingle)).withColumn(order, rank))
-    prints = cut(marked.groupBy(F.col(mark).alias("fingerprint")).agg(F.min(order).alias("first")))
+    marked = cut(docs.withColumn(mark, _sketched(F.col(f"`{text_column}`"), shingle)).withColumn(order, rank))
+    field = lambda name: F.col(f"`{mark}`.{name}")
+    prints = cut(marked.groupBy(field("f").alias("fingerprint")).agg(F.min(f"`{order}`").alias("first")))
+    near = connected(links(prints, radius), []).select(F.col("node").alias("fingerprint"), "root")
+    placed = prints.join(near, "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("component"))
+    placed = cut(placed)
+    if least is not None:
+        placed = _merged(placed, marked.select(f"`{mark}`.*", F.col(f"`{order}`").alias("place"), filled(text_column).alias("text")), shingle, least)
+    groups = placed.groupBy("component").agg(F.min("first").alias(order))
     # a chosen row carries the smallest order value of its component, so the join key is spread
-    chosen = classes(prints, radius).select(F.col("component").alias(order)).distinct()
-    kept = marked.join(chosen.withColumn(part, F.lit(1)), order, "left_semi")
+    kept = marked.join(groups.select(f"`{order}`"), order, "left_semi")
     return kept.dropDuplicates([order]).select(*[f"`{c}`" for c in docs.columns])

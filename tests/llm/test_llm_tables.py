@@ -95,6 +95,32 @@ def test_one_document_of_each_group_stays(spark, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_similar_texts_leave_one_document(spark):
+    rng = random.Random(12)
+    texts = []
+    for n in (60, 300, 900):
+        base = words(rng, n).split()
+        texts.append(" ".join(base))
+        for share in (0.005, 0.015, 0.02, 0.3):  # changed words; the last is too far
+            some = list(base)
+            for i in range(int(share * n) or 1):
+                some[(i * 37 + 11) % n] = "zz" + str(i)
+            texts.append(" ".join(some))
+    texts += ["", None, "one two", "two one"]
+    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    kept = sorted(r.doc_id for r in simhash.keep_one(rows(spark, texts), least=0.8).collect())
+    assert kept == sorted(set(root))
+    assert simhash.keep_one(rows(spark, texts).where("false"), least=0.8).count() == 0
+    left, right = (np.unique(simhash._hashes(texts[i], 5, 42)) for i in (5, 8))
+    assert simhash.similarity(left, right) == pytest.approx(len(sets[5] & sets[8]) / len(sets[5] | sets[8]))
+
+
 # Top-k
 
 
