@@ -15,7 +15,7 @@ Two bits find copies and slight changes, but texts with a shingle similarity of
 lie up to some 15 bits apart, where covering masks are no longer selective.
 ``keep_one`` therefore can add smallest-hash slots of the same shingles: texts of
 different components that share a band of slots are compared with one text of the
-band by their exact shingle sets, in turns until none finds a link.
+band by their exact shingle sets, in a fixed number of turns.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ BITS = 64
 BANDS, SLOTS = 32, 5
 #: Comparisons with one text that share a copy of it.
 MATES = 128
+#: Texts of a band that the others are compared with, one after another.
+TURNS = 2
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -204,7 +206,7 @@ def _close(texts: DataFrame, bodies: DataFrame, shingle: int, least: float, turn
     changes which one.  ``bodies`` (key, text) has the texts of bands with several components.
     """
     spread = texts.select("key", "component", F.posexplode("bands").alias("band", "slot"))
-    chance = F.xxhash64("key", F.lit(turn)).alias("chance")
+    chance = (F.xxhash64("key", F.lit(turn)) if turn else F.col("component")).alias("chance")
     first = spread.groupBy("band", "slot").agg(
         F.min(F.struct(chance, "component", "key")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")
     )
@@ -230,16 +232,15 @@ def _merged(placed: DataFrame, marked: DataFrame, shingle: int, least: float) ->
     several = spread.groupBy("band", "slot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     wanted = cut(spread.join(several, ["band", "slot"], "left_semi").select("key", "place").distinct())
     bodies = cut(marked.select("place", "text").join(wanted, "place").dropDuplicates(["key"]).select("key", "text"))
-    turn = 0
-    while True:
+    for turn in range(TURNS):
         found = cut(_close(texts, bodies, shingle, least, turn))
         if not found.limit(1).count():
-            return placed
+            break
         more = cut(connected(found, []).select(F.col("node").alias("component"), "root"))
         placed, texts = (
             cut(df.join(more, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"), df) for df in (placed, texts)
         )
-        turn += 1
+    return placed
 
 
 def keep_one(
@@ -248,9 +249,9 @@ def keep_one(
     """The rows of ``docs`` without near-duplicates, columns unchanged.
 
     Fingerprints within ``radius`` bits are linked, and, if ``least`` is given, so are texts whose sets of word
-    shingles have a similarity of ``least`` or more with the text picked for a shared band, in turns until one finds no
-    new link.  Of each component the row with the smallest id stays (null ids last, then the smallest text hash); of
-    rows equal in both one stays.  Null texts count as empty.
+    shingles have a similarity of ``least`` or more with the text picked for a shared band, in TURNS turns.  Two texts
+    that meet no common text are left apart.  Of each component the row with the smallest id stays (null ids last, then
+    the smallest text hash); of rows equal in both one stays.  Null texts count as empty.
     """
     mark, order = free_name(docs, "_mark"), free_name(docs, "_order")
     rank = F.struct(
