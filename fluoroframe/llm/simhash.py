@@ -13,9 +13,11 @@ bucket is, the work is linear, and no verification is needed.
 
 Two bits find copies and slight changes, but texts with a shingle similarity of 0.8
 lie up to some 15 bits apart, where covering masks are no longer selective.
-``keep_one`` therefore can add smallest-hash slots of the same shingles: texts of
-different components that share a band of slots are compared with one text of the
-band by their exact shingle sets, in a fixed number of turns.
+``keep_one`` therefore can add smallest-hash slots of the same shingles.  Texts of
+different components that share a band of slots are first compared with one text of
+the band by their exact shingle sets, which joins most groups at linear cost.  All
+texts that still share a band with another component then meet in a prefix join over
+their rarest shingles, which leaves out no similar pair among them.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ BITS = 64
 BANDS, SLOTS = 32, 5
 #: Comparisons with one text that share a copy of it.
 MATES = 128
-#: Texts of a band that the others are compared with, one after another.
+#: Turns over the bands before the prefix join; they save pairs there and decide nothing.
 TURNS = 2
 
 
@@ -199,18 +201,35 @@ def _similar(a: Column, b: Column, shingle: int, seed: int = 42) -> Column:
     return measured(a, b)
 
 
+def _shingles(text: Column, shingle: int, seed: int = 42) -> Column:
+    @F.pandas_udf("array<long>")
+    def distinct(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_hashes(t, shingle, seed)).view(np.int64) for t in texts], dtype=object)
+
+    return distinct(text)
+
+
+def _shared_bands(texts: DataFrame, *columns: str) -> DataFrame:
+    """A row of ``texts`` and ``mates`` (texts of the band) for each of its bands that holds several components."""
+    spread = texts.select("key", "component", *columns, F.posexplode("bands").alias("band", "slot"))
+    several = spread.groupBy("band", "slot").agg(F.count("*").alias("mates"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return spread.join(several.where("low <> high").drop("low", "high"), ["band", "slot"])
+
+
 def _close(texts: DataFrame, bodies: DataFrame, shingle: int, least: float, turn: int) -> DataFrame:
     """``src, dst``: components of ``texts`` (key, component, bands) that hold texts of at least that similarity.
 
-    A text meets one text of each of its bands, never all others, so the work stays linear in a large band; ``turn``
-    changes which one.  ``bodies`` (key, text) has the texts of bands with several components.
+    A text meets one text of each of its bands, never all others, so the work stays linear in a large band.  In turn 0
+    that is the text with most mates in all its bands, which is the original of texts that only it is similar to; in
+    later turns another one.  ``bodies`` (key, text) has the texts of bands with several components.
     """
-    spread = texts.select("key", "component", F.posexplode("bands").alias("band", "slot"))
-    chance = (F.xxhash64("key", F.lit(turn)) if turn else F.col("component")).alias("chance")
-    first = spread.groupBy("band", "slot").agg(
-        F.min(F.struct(chance, "component", "key")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    first = first.where("low <> high").select("band", "slot", F.col("p.component").alias("src"), F.col("p.key").alias("pivot"))
+    spread = cut(_shared_bands(texts))
+    if turn:
+        ranked = spread.withColumn("chance", F.xxhash64("key", F.lit(turn)))
+    else:
+        ranked = spread.join(spread.groupBy("key").agg(F.sum("mates").alias("chance")), "key")
+    first = ranked.groupBy("band", "slot").agg(F.max(F.struct("chance", "component", "key")).alias("p"))
+    first = first.select("band", "slot", F.col("p.component").alias("src"), F.col("p.key").alias("pivot"))
     met = spread.join(first, ["band", "slot"]).where("component <> src")
     pairs = cut(met.select("key", F.col("component").alias("dst"), "pivot", "src").distinct())
     # a pivot with many mates is laid out once per MATES of them
@@ -223,19 +242,51 @@ def _close(texts: DataFrame, bodies: DataFrame, shingle: int, least: float, turn
     return alike.select("src", "dst").distinct()
 
 
+def _meet(sets: DataFrame, least: float) -> DataFrame:
+    """``src, dst``: all components of ``sets`` (key, component, hashes) that hold texts of at least that similarity.
+
+    Shingles are ordered by the number of texts that have them, those of one component alone before all others.  Two
+    sets of ``n`` shingles and similarity ``least`` share one of the first n - least * n + 1 of each, and as the first
+    one shared it leaves enough shingles behind it on both sides.
+    """
+    sets = sets.withColumn("n", F.size("hashes"))
+    spread = sets.select("key", "component", "n", F.explode("hashes").alias("h"))
+    common = spread.groupBy("h").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"))
+    met = spread.join(common.where("low <> high").select("h", "c"), "h")
+    ordered = met.groupBy("key", "component", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("o"))
+    own = F.col("n") - F.size("o")  # shingles of its component alone, which come first
+    length = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1 - own
+    prefix = ordered.where(length > 0).select("key", "component", "n", own.alias("own"), F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "x"))
+    prefix = cut(prefix.select("key", "component", F.col("x.h").alias("h"), "n", (F.col("n") - F.col("own") - F.col("at") - 1).alias("rest")))
+    other = prefix.select("h", *[F.col(c).alias(f"{c}2") for c in ("key", "component", "n", "rest")])
+    enough = 1 + F.least("rest", "rest2") >= (F.col("n") + F.col("n2")) * (least / (1 + least)) - 1e-9
+    pairs = prefix.join(other, "h").where((F.col("component") < F.col("component2")) & enough)
+    pairs = cut(pairs.select("key", "component", "key2", "component2").distinct())
+    beside = pairs.join(sets.select("key", "hashes"), "key")
+    beside = beside.join(sets.select(F.col("key").alias("key2"), F.col("hashes").alias("hashes2")), "key2")
+    both = F.size(F.array_intersect("hashes", "hashes2"))
+    alike = beside.where(both / (F.size("hashes") + F.size("hashes2") - both) >= least)
+    return alike.select(F.col("component").alias("src"), F.col("component2").alias("dst")).distinct()
+
+
 def _merged(placed: DataFrame, marked: DataFrame, shingle: int, least: float) -> DataFrame:
     """``placed`` (fingerprint, first, component) with the components of similar texts made one; ``marked`` has
     f, key, bands, text and place (a value of its own, so that copies of a text do not share a join key) of every row."""
     texts = marked.groupBy("key").agg(F.first("f").alias("fingerprint"), F.first("bands").alias("bands"), F.min("place").alias("place"))
     texts = cut(texts.join(placed.select("fingerprint", "component"), "fingerprint").select("key", "component", "bands", "place"))
-    spread = texts.select("key", "place", "component", F.posexplode("bands").alias("band", "slot"))
-    several = spread.groupBy("band", "slot").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    wanted = cut(spread.join(several, ["band", "slot"], "left_semi").select("key", "place").distinct())
+    wanted = cut(_shared_bands(texts, "place").select("key", "place").distinct())
     bodies = cut(marked.select("place", "text").join(wanted, "place").dropDuplicates(["key"]).select("key", "text"))
-    for turn in range(TURNS):
-        found = cut(_close(texts, bodies, shingle, least, turn))
+    # only texts of shared bands can be joined; merging shares no further ones
+    texts = cut(texts.join(wanted.select("key"), "key", "left_semi").select("key", "component", "bands"))
+    for turn in range(TURNS + 1):
+        if turn < TURNS:
+            found = cut(_close(texts, bodies, shingle, least, turn))
+        else:
+            left = cut(_shared_bands(texts).select("key", "component").distinct())
+            sets = cut(left.join(bodies, "key").select("key", "component", _shingles(F.col("text"), shingle).alias("hashes")))
+            found = cut(_meet(sets, least))
         if not found.limit(1).count():
-            break
+            continue
         more = cut(connected(found, []).select(F.col("node").alias("component"), "root"))
         placed, texts = (
             cut(df.join(more, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"), df) for df in (placed, texts)
@@ -248,9 +299,8 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` without near-duplicates, columns unchanged.
 
-    Fingerprints within ``radius`` bits are linked, and, if ``least`` is given, so are texts whose sets of word
-    shingles have a similarity of ``least`` or more with the text picked for a shared band, in TURNS turns.  Two texts
-    that meet no common text are left apart.  Of each component the row with the smallest id stays (null ids last, then
+    Fingerprints within ``radius`` bits are linked, and, if ``least`` is given, so are all texts whose sets of word
+    shingles have a similarity of ``least`` or more and that share bands with others.  Of each component the row with the smallest id stays (null ids last, then
     the smallest text hash); of rows equal in both one stays.  Null texts count as empty.
     """
     mark, order = free_name(docs, "_mark"), free_name(docs, "_order")

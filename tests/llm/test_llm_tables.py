@@ -121,6 +121,44 @@ def test_similar_texts_leave_one_document(spark):
     assert simhash.similarity(left, right) == pytest.approx(len(sets[5] & sets[8]) / len(sets[5] | sets[8]))
 
 
+def test_texts_similar_only_to_an_original_are_one_group(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(2):  # two originals; their variants are about 0.7 similar to each other
+        base = words(rng, 400).split()
+        for k in range(60):
+            some = list(base)
+            for i in rng.sample(range(80), 6):
+                some[i * 5] = f"zz{k}x{i}"
+            texts.append(" ".join(some))
+        texts.append(" ".join(base))
+    random.Random(4).shuffle(texts)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(4):
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    want = sorted(set(root))
+    assert len(want) == 2
+    assert sorted(r.doc_id for r in simhash.keep_one(rows(spark, texts), least=0.8).collect()) == want
+
+
+def test_prefix_join_finds_all_similar_pairs(spark):
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 4000, 40)
+        for k in range(10):
+            sets.append(sorted({int(h) for h in np.where(rng.random(40) < 0.02 * k, rng.integers(0, 4000, 40), base)}))
+    table = spark.createDataFrame([(f"k{i}", i, s) for i, s in enumerate(sets)], "key string, component long, hashes array<long>")
+    got = {tuple(sorted((r.src, r.dst))) for r in simhash._meet(table, 0.8).collect()}
+    members = [set(s) for s in sets]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(members[i] & members[j]) >= 4 * len(members[i] | members[j])}
+    assert got == want and len(want) > 50
+
+
 # Top-k
 
 
