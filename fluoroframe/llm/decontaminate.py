@@ -70,15 +70,19 @@ def find_leaks(
     """Per document and benchmark item found in it: id, ``_hash`` of the text, item, ``coverage``, ``slots``
     (placeholders of the item) and ``consistent``.
 
-    Items with the same template stand under the smallest of their ids.  An item shorter than a window is one window of
-    its own length; items without words, null and empty texts match nothing.  Rows with the same id and text count as
-    one; null ids keep their rows.  Other columns are left behind.
+    Items are found by their template, and each item of a template is judged by its own values and stands under its own
+    id, those with equal values under the smallest; of several texts under one id
+    a consistent one counts.  An item shorter than a window is one window of its own length; items without words, null and
+    empty texts match nothing.  Rows with the same id and text count as one; null ids keep their rows.  Other columns are
+    left behind.
     """
     items = benchmark.select(F.col(f"`{item_column}`").alias("_item"), filled(item_text_column).alias("_text"))
-    items = _canonical(items, "_text").where(F.size("_c") > 0).groupBy("_c").agg(F.min(F.struct("_item", "_v")).alias("m"))
-    items = cut(items.select(F.col("m._item").alias("_item"), F.col("m._v").alias("_v"), "_c", F.least(F.size("_c"), F.lit(WINDOW)).alias("_n")))
+    items = _canonical(items, "_text").where(F.size("_c") > 0)
+    items = items.withColumn("_key", F.md5(F.array_join(F.col("_c").cast("array<string>"), " ").cast("binary")))
+    members = cut(items.groupBy("_key", "_c", "_v").agg(F.min("_item").alias("_item")))
+    items = cut(members.select("_key", "_c", F.least(F.size("_c"), F.lit(WINDOW)).alias("_n")).dropDuplicates(["_key"]))
     lengths = [r["_n"] for r in items.select("_n").distinct().orderBy("_n").collect()]  # at most WINDOW numbers
-    kind = dict(items.dtypes)["_item"]
+    kind = dict(members.dtypes)["_item"]
     keyed = docs.select(F.col(f"`{id_column}`").alias("_id"), filled(text_column).alias("_text"))
     keyed = keyed.withColumn("_hash", F.xxhash64("_text"))
     words = _canonical(keyed, "_text")
@@ -87,10 +91,10 @@ def find_leaks(
         return empty.select(F.col("_id").alias(id_column), "_hash", F.lit(None).cast(kind).alias(item_column), F.lit(0.0).alias("coverage"), F.lit(0).alias("slots"), F.lit(True).alias("consistent"))
     item_windows = reduce(
         DataFrame.unionByName,
-        [items.where(F.col("_n") == n).select("_item", "_n", F.posexplode_outer(_windows(n)).alias("_at", "_w")) for n in lengths],
+        [items.where(F.col("_n") == n).select("_key", "_n", F.posexplode_outer(_windows(n)).alias("_at", "_w")) for n in lengths],
     )
     item_windows = cut(item_windows)
-    totals = item_windows.groupBy("_item").agg(F.count("*").alias("_total"))
+    totals = item_windows.groupBy("_key").agg(F.count("*").alias("_total"))
     doc_windows = words.select("_id", "_hash", F.size("_c").alias("_size"), F.posexplode_outer(F.concat(*[_windows(n) for n in lengths])).alias("_pos", "_w"))
     small = item_windows.count() <= BROADCAST_WINDOWS
     hits = doc_windows.join(F.broadcast(item_windows) if small else item_windows, "_w")
@@ -98,40 +102,42 @@ def find_leaks(
     skipped = [F.when(F.col("_n") > n, F.greatest(F.col("_size") - (n - 1), F.lit(0))).otherwise(0) for n in lengths]
     hits = hits.withColumn("_pos", F.col("_pos") - reduce(lambda a, b: a + b, skipped))
     # partial sums per place first: a passage that many documents share stays a few rows of each document
-    by_place = hits.groupBy("_id", "_hash", "_item", "_at").agg(F.min("_pos").alias("_pos"))
-    by_item = by_place.groupBy("_id", "_hash", "_item").agg(F.count("*").alias("_got"), F.mode(F.col("_pos") - F.col("_at"), True).alias("_shift"))
-    held = by_item.join(F.broadcast(totals) if small else totals, "_item").withColumn("coverage", F.col("_got") / F.col("_total"))
-    held = cut(held.where(F.col("coverage") >= coverage).select("_id", "_hash", "_item", "coverage", "_shift"))
+    by_place = hits.groupBy("_id", "_hash", "_key", "_at").agg(F.min("_pos").alias("_pos"))
+    by_item = by_place.groupBy("_id", "_hash", "_key").agg(F.count("*").alias("_got"), F.mode(F.col("_pos") - F.col("_at"), True).alias("_shift"))
+    held = by_item.join(F.broadcast(totals) if small else totals, "_key").withColumn("coverage", F.col("_got") / F.col("_total"))
+    held = cut(held.where(F.col("coverage") >= coverage).select("_id", "_hash", "_key", "coverage", "_shift"))
 
     # slots: only pairs that are left meet their texts and items again
-    slotted = items.where(F.exists("_v", lambda v: v.isNotNull())).select("_item", "_c", "_v")
-    pairs = held.join(slotted, "_item")
+    slotted = items.join(members.where(F.exists("_v", lambda v: v.isNotNull())).select("_key"), "_key", "left_semi").select("_key", "_c")
+    pairs = held.select("_id", "_hash", "_key", "_shift").join(slotted, "_key")
     # written first, so that Spark knows the size of the keys when it picks the join that meets the texts
-    keys = held.join(slotted, "_item", "left_semi").select(F.col("_id").alias("_kid"), F.col("_hash").alias("_khash")).distinct()
+    keys = held.join(slotted, "_key", "left_semi").select(F.col("_id").alias("_kid"), F.col("_hash").alias("_khash")).distinct()
     left = keyed.join(cut(keys), F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_hash") == F.col("_khash")), "left_semi")
-    doc_words = _canonical(left, "_text").select(
+    doc_words = _canonical(left.dropDuplicates(["_id", "_hash"]), "_text").select(
         F.col("_id").alias("_did"), F.col("_hash").alias("_dhash"), F.col("_c").alias("_dc"), F.col("_v").alias("_dv")
     )
     beside = doc_words.join(pairs, F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_hash") == F.col("_dhash")))
 
-    def laid(v: Column, i: Column) -> Column:
+    def laid(c: Column, i: Column) -> Column:
         at = F.col("_shift") + i + 1
         inside = (at > 0) & (at <= F.size("_dc"))
         there = F.greatest(F.least(at, F.size("_dc")), F.lit(1)).cast("int")
-        equal = inside & (F.element_at("_dc", there) == F.element_at("_c", i + 1))
-        return F.when(v.isNotNull() & equal, F.struct(v.alias("a"), F.element_at("_dv", there).alias("b")))
-
-    matched = F.array_distinct(F.filter(F.transform("_v", laid), lambda p: p.isNotNull()))
-    judged = beside.withColumn("_p", matched).select(
-        "_id", "_hash", "_item", F.size(F.filter("_v", lambda v: v.isNotNull())).alias("slots"),
-        (F.size("_p") == F.size(F.array_distinct(F.transform("_p", lambda p: p["a"])))).alias("consistent"),
-    )
-    judged = judged.groupBy("_id", "_hash", "_item").agg(F.max("slots").alias("slots"), F.max("consistent").alias("consistent"))
-    judged = judged.withColumnsRenamed({"_id": "_jid", "_hash": "_jhash", "_item": "_jitem"})
-    on = F.col("_id").eqNullSafe(F.col("_jid")) & (F.col("_hash") == F.col("_jhash")) & (F.col("_item") == F.col("_jitem"))
-    return held.join(judged, on, "left").select(
-        F.col("_id").alias(id_column), "_hash", F.col("_item").alias(item_column), "coverage",
-        F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("consistent", F.lit(True)).alias("consistent"),
+        return F.when(inside & (F.element_at("_dc", there) == c), F.element_at("_dv", there))
+
+    # values of the document at the words of the template, so that no whole text meets the items of the template
+    places = cut(beside.select("_id", "_hash", "_key", F.transform("_c", laid).alias("_d")).distinct())
+    values = members.where(F.exists("_v", lambda v: v.isNotNull())).select("_key", "_v").distinct()
+    both = F.zip_with("_v", "_d", lambda v, d: F.when(v.isNotNull() & d.isNotNull(), F.struct(v.alias("a"), d.alias("b"))))
+    judged = places.join(values, "_key").withColumn("_p", F.array_distinct(F.filter(both, lambda p: p.isNotNull())))
+    judged = judged.withColumn("_same", F.size("_p") == F.size(F.array_distinct(F.transform("_p", lambda p: p["a"]))))
+    judged = judged.groupBy("_id", "_hash", "_key", "_v").agg(F.max("_same").alias("_same"))
+    judged = judged.withColumnsRenamed({"_id": "_jid", "_hash": "_jhash", "_key": "_jkey", "_v": "_jv"})
+    found = held.groupBy("_id", "_hash", "_key").agg(F.max("coverage").alias("coverage")).join(members.select("_key", "_item", "_v"), "_key")
+    on = F.col("_id").eqNullSafe(F.col("_jid")) & (F.col("_hash") == F.col("_jhash")) & (F.col("_key") == F.col("_jkey")) & (F.col("_v") == F.col("_jv"))
+    slots = F.size(F.filter("_v", lambda v: v.isNotNull()))
+    best = F.max(F.struct(F.coalesce("_same", F.lit(True)).alias("consistent"), "coverage", slots.alias("slots")))
+    return found.join(judged, on, "left").groupBy("_id", "_hash", "_item").agg(best.alias("_best")).select(
+        F.col("_id").alias(id_column), "_hash", F.col("_item").alias(item_column), "_best.coverage", "_best.slots", "_best.consistent",
     )
 
 

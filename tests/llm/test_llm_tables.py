@@ -321,6 +321,16 @@ def test_leaks_are_found_with_other_parameters(spark):
     assert decontaminate.find_leaks(docs.where("false"), bench).count() == 0
 
 
+def test_every_item_of_a_template_is_judged(spark):
+    text = "the box holds 3 red and {} blue balls of the same size and weight for the game"
+    series = [(1, text.format(3)), (2, text.format(5)), (None, "seven plain words are the whole item here"), (None, text.format(4))]
+    bench = spark.createDataFrame(series, "item_id int, text string")
+    docs = rows(spark, ["Well, " + text.format(5) + " now", "seven plain words are the whole item here", text.format(3)])
+    got = {(r.doc_id, r.item_id): r.consistent for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got[0, 2] and got[0, 1] is False and got[1, None] and got[2, 1] and len(got) == 7
+    assert decontaminate.drop_leaks(docs, bench).count() == 0
+
+
 # Toxicity and quality
 
 
