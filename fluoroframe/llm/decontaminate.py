@@ -71,7 +71,7 @@ def find_leaks(
     (placeholders of the item) and ``consistent``.
 
     Items are found by their template, and each item of a template is judged by its own values and stands under its own
-    id, those with equal values under the smallest; of several texts under one id
+    id, those with equal values under the smallest; of several texts under one id, and of several places in a document,
     a consistent one counts.  An item shorter than a window is one window of its own length; items without words, null and
     empty texts match nothing.  Rows with the same id and text count as one; null ids keep their rows.  Other columns are
     left behind.
@@ -101,15 +101,31 @@ def find_leaks(
     # the windows of each length follow those of the shorter lengths
     skipped = [F.when(F.col("_n") > n, F.greatest(F.col("_size") - (n - 1), F.lit(0))).otherwise(0) for n in lengths]
     hits = hits.withColumn("_pos", F.col("_pos") - reduce(lambda a, b: a + b, skipped))
-    # partial sums per place first: a passage that many documents share stays a few rows of each document
-    by_place = hits.groupBy("_id", "_hash", "_key", "_at").agg(F.min("_pos").alias("_pos"))
-    by_item = by_place.groupBy("_id", "_hash", "_key").agg(F.count("*").alias("_got"), F.mode(F.col("_pos") - F.col("_at"), True).alias("_shift"))
-    held = by_item.join(F.broadcast(totals) if small else totals, "_key").withColumn("coverage", F.col("_got") / F.col("_total"))
-    held = cut(held.where(F.col("coverage") >= coverage).select("_id", "_hash", "_key", "coverage", "_shift"))
+    hits = cut(hits.select("_id", "_hash", "_key", "_at", (F.col("_pos") - F.col("_at")).alias("_shift")).distinct())
+    totals = F.broadcast(totals) if small else totals
+
+    def covered(parts: DataFrame, *place: str) -> DataFrame:
+        # partial sums per place first: a passage that many documents share stays a few rows of each document
+        by_word = parts.groupBy("_id", "_hash", "_key", *place, "_at").agg(F.min("_shift").alias("_shift"))
+        by_place = by_word.groupBy("_id", "_hash", "_key", *place).agg(F.count("*").alias("_got"), F.mode("_shift", True).alias("_shift"))
+        shares = by_place.join(totals, "_key").withColumn("coverage", F.col("_got") / F.col("_total"))
+        return cut(shares.where(F.col("coverage") >= coverage).select("_id", "_hash", "_key", "coverage", "_shift"))
+
+    held = covered(hits)
 
     # slots: only pairs that are left meet their texts and items again
     slotted = items.join(members.where(F.exists("_v", lambda v: v.isNotNull())).select("_key"), "_key", "left_semi").select("_key", "_c")
-    pairs = held.select("_id", "_hash", "_key", "_shift").join(slotted, "_key")
+    # every place that holds enough is judged: each shift, and stretches of the length of the item, which overlap by half,
+    # as words put in or left out change the shift
+    length = F.size("_c")
+    stretches = F.array(
+        F.struct(F.lit(0).alias("g"), F.col("_shift").cast("long").alias("b")),
+        F.struct(F.lit(1).alias("g"), F.floor(F.col("_shift") / length).alias("b")),
+        F.struct(F.lit(2).alias("g"), F.floor(F.col("_shift") / length + 0.5).alias("b")),
+    )
+    parts = hits.join(slotted, "_key").select("_id", "_hash", "_key", "_at", "_shift", F.explode(stretches).alias("_place"))
+    shifts = held.unionByName(covered(parts, "_place")).select("_id", "_hash", "_key", "_shift").distinct()
+    pairs = shifts.join(slotted, "_key")
     # written first, so that Spark knows the size of the keys when it picks the join that meets the texts
     keys = held.join(slotted, "_key", "left_semi").select(F.col("_id").alias("_kid"), F.col("_hash").alias("_khash")).distinct()
     left = keyed.join(cut(keys), F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_hash") == F.col("_khash")), "left_semi")
@@ -132,7 +148,7 @@ def find_leaks(
     judged = judged.withColumn("_same", F.size("_p") == F.size(F.array_distinct(F.transform("_p", lambda p: p["a"]))))
     judged = judged.groupBy("_id", "_hash", "_key", "_v").agg(F.max("_same").alias("_same"))
     judged = judged.withColumnsRenamed({"_id": "_jid", "_hash": "_jhash", "_key": "_jkey", "_v": "_jv"})
-    found = held.groupBy("_id", "_hash", "_key").agg(F.max("coverage").alias("coverage")).join(members.select("_key", "_item", "_v"), "_key")
+    found = held.join(members.select("_key", "_item", "_v"), "_key")
     on = F.col("_id").eqNullSafe(F.col("_jid")) & (F.col("_hash") == F.col("_jhash")) & (F.col("_key") == F.col("_jkey")) & (F.col("_v") == F.col("_jv"))
     slots = F.size(F.filter("_v", lambda v: v.isNotNull()))
     best = F.max(F.struct(F.coalesce("_same", F.lit(True)).alias("consistent"), "coverage", slots.alias("slots")))

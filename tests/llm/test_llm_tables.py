@@ -331,6 +331,15 @@ def test_every_item_of_a_template_is_judged(spark):
     assert decontaminate.drop_leaks(docs, bench).count() == 0
 
 
+def test_every_place_of_a_document_is_judged(spark):
+    text = "the box holds 3 red and {} blue balls of the same size and weight for the game and then many green balls are put in a bag that nobody opens until the end"
+    bench = spark.createDataFrame([(1, text.format(3))], "item_id int, text string")
+    again = text.format(3).replace("for the game", "for all the game")  # neither part is half of the item
+    docs = rows(spark, [f"{text.format(7)}. And then {text.format(3)}", f"{text.format(7)} {again}", f"{text.format(7)} {text.format(8)}"])
+    got = {r.doc_id: r.consistent for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {0: True, 1: True, 2: False}
+
+
 # Toxicity and quality
 
 
