@@ -2,7 +2,8 @@
 
 Everything is DataFrame functions.  Words of a text become template words: numbers,
 names (capitalised within a sentence) and units (after a number) turn into typed
-placeholders, all else into lower case.  Hashes of overlapping template windows of
+placeholders, all else into lower case.  A capitalised word at the beginning of a
+sentence can be either, so windows with one are taken in both readings.  Hashes of overlapping template windows of
 the benchmark meet those of the documents in a hash join; the share of an item's
 windows that a document holds is its coverage.  Where an item has placeholders, its
 values are laid beside the document's: the same value must have been replaced by
@@ -35,7 +36,8 @@ _MARKS = (".", "!", "?", "\n")
 
 
 def _canonical(rows: DataFrame, text: str) -> DataFrame:
-    """Adds ``_c`` (hash of every template word) and ``_v`` (hash of the value in each slot, null elsewhere)."""
+    """Adds ``_c`` (hash of every template word), ``_v`` (hash of the value in each slot, null elsewhere), and both with
+    capitalised words at the beginning of a sentence read as names: ``_nc`` and ``_nv``."""
     tokens = once(rows, "_t", F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(1)))
     before = lambda i: F.when(i > 0, F.element_at("_t", F.greatest(i, F.lit(1))))
     units = F.array(*[F.lit(u) for u in UNITS])
@@ -50,15 +52,24 @@ def _canonical(rows: DataFrame, text: str) -> DataFrame:
             .otherwise(low)
         )
 
-    formed = F.transform("_t", lambda t, i: F.struct(form(t, i).alias("c"), t.alias("t")))
+    def leading(t: Column, i: Column) -> Column:
+        first, prior = F.substring(t, 1, 1), before(i)
+        return (first != F.lower(first)) & (t != F.upper(t)) & (prior.isNull() | prior.isin(*_MARKS))
+
+    formed = F.transform("_t", lambda t, i: F.struct(form(t, i).alias("c"), t.alias("t"), leading(t, i).alias("l")))
     formed = once(tokens, "_f", F.filter(formed, lambda f: ~f["t"].isin(*_MARKS))).drop("_t")
-    slot = lambda f: F.when(f["c"].startswith("#"), F.xxhash64(F.lower(f["t"])))
-    both = F.struct(F.transform("_f", lambda f: F.xxhash64(f["c"])).alias("c"), F.transform("_f", slot).alias("v"))
-    return once(formed, "_b", both).withColumn("_c", F.col("_b.c")).withColumn("_v", F.col("_b.v")).drop("_b", "_f", text)
+    value = lambda f: F.xxhash64(F.lower(f["t"]))
+    slot = lambda f: F.when(f["c"].startswith("#"), value(f))
+    both = F.struct(
+        F.transform("_f", lambda f: F.xxhash64(f["c"])).alias("_c"), F.transform("_f", slot).alias("_v"),
+        F.transform("_f", lambda f: F.xxhash64(F.when(f["l"], F.lit("#name")).otherwise(f["c"]))).alias("_nc"),
+        F.transform("_f", lambda f: F.when(f["l"], value(f)).otherwise(slot(f))).alias("_nv"),
+    )
+    return once(formed, "_b", both).select("*", "_b.*").drop("_b", "_f", text)
 
 
-def _windows(length: int) -> Column:
-    one = lambda i: F.xxhash64(F.lit(length), *[F.element_at("_c", i + j) for j in range(length)])
+def _windows(length: int, words: str = "_c") -> Column:
+    one = lambda i: F.xxhash64(F.lit(length), *[F.element_at(words, i + j) for j in range(length)])
     count = F.size("_c") - (length - 1)
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), one)).otherwise(F.array().cast("array<long>"))
 
@@ -78,9 +89,12 @@ def find_leaks(
     """
     items = benchmark.select(F.col(f"`{item_column}`").alias("_item"), filled(item_text_column).alias("_text"))
     items = _canonical(items, "_text").where(F.size("_c") > 0)
-    items = items.withColumn("_key", F.md5(F.array_join(F.col("_c").cast("array<string>"), " ").cast("binary")))
-    members = cut(items.groupBy("_key", "_c", "_v").agg(F.min("_item").alias("_item")))
-    items = cut(members.select("_key", "_c", F.least(F.size("_c"), F.lit(WINDOW)).alias("_n")).dropDuplicates(["_key"]))
+    # a word at the beginning of a sentence is a slot if it is a name elsewhere in the item
+    slots = F.zip_with("_v", "_nv", lambda v, n: F.coalesce(v, F.when(F.array_contains(F.array_compact("_v"), n), n)))
+    items = items.withColumn("_v", slots).drop("_nv")
+    items = items.withColumn("_key", F.md5(F.array_join(F.concat("_c", "_nc").cast("array<string>"), " ").cast("binary")))
+    members = cut(items.groupBy("_key", "_c", "_nc", "_v").agg(F.min("_item").alias("_item")))
+    items = cut(members.select("_key", "_c", "_nc", F.least(F.size("_c"), F.lit(WINDOW)).alias("_n")).dropDuplicates(["_key"]))
     lengths = [r["_n"] for r in items.select("_n").distinct().orderBy("_n").collect()]  # at most WINDOW numbers
     kind = dict(members.dtypes)["_item"]
     keyed = docs.select(F.col(f"`{id_column}`").alias("_id"), filled(text_column).alias("_text"))
@@ -91,11 +105,18 @@ def find_leaks(
         return empty.select(F.col("_id").alias(id_column), "_hash", F.lit(None).cast(kind).alias(item_column), F.lit(0.0).alias("coverage"), F.lit(0).alias("slots"), F.lit(True).alias("consistent"))
     item_windows = reduce(
         DataFrame.unionByName,
-        [items.where(F.col("_n") == n).select("_key", "_n", F.posexplode_outer(_windows(n)).alias("_at", "_w")) for n in lengths],
+        [items.where(F.col("_n") == n).select("_key", "_n", F.posexplode_outer(F.arrays_zip(_windows(n).alias("a"), _windows(n, "_nc").alias("b"))).alias("_at", "_both")) for n in lengths],
     )
-    item_windows = cut(item_windows)
-    totals = item_windows.groupBy("_key").agg(F.count("*").alias("_total"))
-    doc_windows = words.select("_id", "_hash", F.size("_c").alias("_size"), F.posexplode_outer(F.concat(*[_windows(n) for n in lengths])).alias("_pos", "_w"))
+    item_windows = cut(item_windows.select("_key", "_n", "_at", F.explode(F.array_distinct(F.array("_both.a", "_both.b"))).alias("_w")))
+    totals = item_windows.groupBy("_key").agg(F.countDistinct("_at").alias("_total"))
+    # both readings of each window, one after the other; the second is null where it is the first
+    words = once(words, "_wa", F.concat(*[_windows(n) for n in lengths]))
+    second = F.zip_with(F.concat(*[_windows(n, "_nc") for n in lengths]), "_wa", lambda b, a: F.when(a != b, b))
+    words = once(words, "_all", F.concat(F.col("_wa"), second))
+    # numbers before the windows are laid out, so that no row of a window carries the words of its text
+    words = once(words, "_many", F.struct(F.size("_c").alias("c"), F.size("_wa").alias("w"))).select("_id", "_hash", "_many", "_all")
+    doc_windows = words.select("_id", "_hash", "_many", F.posexplode_outer("_all").alias("_pos", "_w")).where("_w is not null")
+    doc_windows = doc_windows.select("_id", "_hash", F.col("_many.c").alias("_size"), (F.col("_pos") % F.col("_many.w")).alias("_pos"), "_w")
     small = item_windows.count() <= BROADCAST_WINDOWS
     hits = doc_windows.join(F.broadcast(item_windows) if small else item_windows, "_w")
     # the windows of each length follow those of the shorter lengths
@@ -114,7 +135,7 @@ def find_leaks(
     held = covered(hits)
 
     # slots: only pairs that are left meet their texts and items again
-    slotted = items.join(members.where(F.exists("_v", lambda v: v.isNotNull())).select("_key"), "_key", "left_semi").select("_key", "_c")
+    slotted = items.join(members.where(F.exists("_v", lambda v: v.isNotNull())).select("_key"), "_key", "left_semi").select("_key", "_c", "_nc")
     # every place that holds enough is judged: each shift, and stretches of the length of the item, which overlap by half,
     # as words put in or left out change the shift
     length = F.size("_c")
@@ -130,7 +151,7 @@ def find_leaks(
     keys = held.join(slotted, "_key", "left_semi").select(F.col("_id").alias("_kid"), F.col("_hash").alias("_khash")).distinct()
     left = keyed.join(cut(keys), F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_hash") == F.col("_khash")), "left_semi")
     doc_words = _canonical(left.dropDuplicates(["_id", "_hash"]), "_text").select(
-        F.col("_id").alias("_did"), F.col("_hash").alias("_dhash"), F.col("_c").alias("_dc"), F.col("_v").alias("_dv")
+        F.col("_id").alias("_did"), F.col("_hash").alias("_dhash"), F.col("_c").alias("_dc"), F.col("_nc").alias("_dnc"), F.col("_nv").alias("_dv")
     )
     beside = doc_words.join(pairs, F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_hash") == F.col("_dhash")))
 
@@ -138,7 +159,8 @@ def find_leaks(
         at = F.col("_shift") + i + 1
         inside = (at > 0) & (at <= F.size("_dc"))
         there = F.greatest(F.least(at, F.size("_dc")), F.lit(1)).cast("int")
-        return F.when(inside & (F.element_at("_dc", there) == c), F.element_at("_dv", there))
+        equal = (F.element_at("_dc", there) == c) | (F.element_at("_dnc", there) == F.element_at("_nc", i + 1))
+        return F.when(inside & equal, F.element_at("_dv", there))
 
     # values of the document at the words of the template, so that no whole text meets the items of the template
     places = cut(beside.select("_id", "_hash", "_key", F.transform("_c", laid).alias("_d")).distinct())

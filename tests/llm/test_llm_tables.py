@@ -340,6 +340,15 @@ def test_every_place_of_a_document_is_judged(spark):
     assert got == {0: True, 1: True, 2: False}
 
 
+def test_names_at_the_beginning_of_sentences_can_change(spark):
+    text = "Natalia sold 48 clips to her friends in April last year. Natalia then sold half as many clips to others in May."
+    bench = spark.createDataFrame([(1, text), (2, "Here is what Tim said. Tim has 7 apples. Then Tim ate one of them.")], "item_id int, text string")
+    tim = "Here is what Sam said. {} has 7 apples. Then Sam ate one of them."
+    docs = rows(spark, [text.replace("Natalia", "Weng"), tim.format("Sam"), tim.format("Beth"), "Weng sold 48 clips. Nobody else did so in May of that year."])
+    got = {(r.doc_id, r.item_id): r.consistent for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(0, 1): True, (1, 2): True, (2, 2): False}
+
+
 # Toxicity and quality
 
 
