@@ -80,10 +80,9 @@ def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    warc.write_archives(table(spark, sf_dir, "pages"), f"{folder}/all")
-    warc.deduplicate(spark, f"{folder}/all", f"{folder}/once")
-    return warc.resolve(warc.read_archives(spark, f"{folder}/once"))
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_once(table(spark, sf_dir, "pages"), path)
+    return warc.resolve(warc.read_archives(spark, path))
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ two line ends after every record are the separator of its rows.  The separator a
 puts the rows of a file together again and follows the lengths in the headers, one record at a time.
 
 Revisits are resolved on headers alone.  They are shuffled by payload digest, the least record of each digest is the
-original, and the headers of the others join it.  Only then do whole records move once, to be written with fresh
-headers: the original as it was, the others as revisit records without payload that refer to it.
+original, and the headers of the others join it and become revisit records without payload that refer to it.  Of each
+payload one copy leaves a task, however many the task has read, and moves once to be written under the original's
+fresh headers.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fluoroframe.llm.common import filled
+from fluoroframe.plans.cut import cut, forget
 
 END = "\r\n"
 GAP = "\r\n\r\n"
@@ -28,6 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
+#: Rows that repeat each other are laid out so many at a time.
+SAME_ROWS = 1 << 14
 RECORD = (
     "record_id string, record_type string, page_id long, url string, date string, payload_digest string, payload_bytes long, "
     "refers_to_record string, refers_to_url string, refers_to_date string"
@@ -71,32 +76,95 @@ def _record(payload: Column) -> Column:
     )
 
 
-def _save(records: DataFrame, payload: Column, path: str) -> None:
-    records.select(_record(payload).alias("value")).write.option("lineSep", GAP).option("compression", "gzip").text(path)
+def _save(records: DataFrame, path: str) -> None:
+    records.select(_record(F.col("body")).alias("value")).write.option("lineSep", GAP).option("compression", "gzip").text(path)
 
 
-def write_archives(
-    pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", date: Column | None = None
-) -> None:
-    """One response record per row, the payload in UTF-8 (null: empty), ids and addresses null where they are.
-
-    Record ids are new on each attempt of a task; a file that was written keeps them.  ``date`` gives the time of
-    each capture as text (default: now).  Other columns are left behind.
-    """
-    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date is None else date
+def _captures(pages: DataFrame, id_column: str, url_column: str, payload_column: str, date_column: str | None) -> DataFrame:
+    """``page_id, url, date, payload_digest, payload_bytes, body`` of every row; one time of capture if no column tells it."""
+    now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = filled(payload_column)
-    records = pages.select(
-        F.concat(F.lit("urn:uuid:"), F.uuid()).alias("record_id"),
-        F.lit("response").alias("record_type"),
+    return pages.select(
         F.col(f"`{id_column}`").cast("long").alias("page_id"),
         F.col(f"`{url_column}`").cast("string").alias("url"),
-        stamp.alias("date"),
+        (F.lit(now) if date_column is None else F.coalesce(F.col(f"`{date_column}`").cast("string"), F.lit(now))).alias("date"),
         F.sha2(F.encode(body, "UTF-8"), 256).alias("payload_digest"),
         F.octet_length(body).cast("long").alias("payload_bytes"),
-        *[F.lit(None).cast("string").alias(c) for c in ("refers_to_record", "refers_to_url", "refers_to_date")],
         body.alias("body"),
     )
-    _save(records, F.col("body"), path)
+
+
+def _named(digest: str, *parts: str) -> Column:
+    """Record id that follows from the payload and its original."""
+    text = F.sha2(F.concat_ws("|", digest, *[F.coalesce(F.col(p).cast("string"), F.lit("-")) for p in parts]), 256)
+    return F.regexp_replace(F.substring(text, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "urn:uuid:$1-$2-$3-$4-$5")
+
+
+_HEADERS = ["record_id", "record_type", "page_id", "url", "date", "payload_digest", "payload_bytes", "refers_to_record", "refers_to_url", "refers_to_date"]
+
+
+def _responses(captures: DataFrame, record_id: Column) -> DataFrame:
+    empty = {c: F.lit(None).cast("string") for c in _HEADERS[-3:]}
+    return captures.withColumns({"record_id": record_id, "record_type": F.lit("response"), **empty}).select(*_HEADERS, "body")
+
+
+def write_archives(
+    pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", date_column: str | None = None
+) -> None:
+    """One response record per row, the payload in UTF-8 (null: empty), ids and addresses null where they are.
+
+    Other columns are left behind.
+    """
+    captures = _captures(pages, id_column, url_column, payload_column, date_column)
+    _save(_responses(captures, F.concat(F.lit("urn:uuid:"), F.uuid())), path)
+
+
+def write_once(
+    pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", date_column: str | None = None,
+    least_bytes: int = LEAST_BYTES,
+) -> None:
+    """One record per row, but of equal payloads of at least ``least_bytes`` only the original is a response.
+
+    The original is the row with the smallest page id (null ids last), then the smallest address and date; all others,
+    rows that repeat it too, are revisits of it.  ``pages`` is read twice and has to give the same rows; the rows of
+    several archives (``read_archives`` with payload, without revisits) may be put together first.  Other columns are
+    left behind.
+    """
+    captures = _captures(pages, id_column, url_column, payload_column, date_column)
+    large = captures.where(F.col("payload_bytes") >= least_bytes)
+    headers = cut(large.drop("body"))
+    first = originals(headers)
+    revisits = find_revisits(headers, first).withColumn("record_type", F.lit("revisit")).withColumn("record_id", F.concat(F.lit("urn:uuid:"), F.uuid()))
+    bodies = large.groupBy("payload_digest").agg(F.first("body").alias("body"), F.min(_order()).alias("o"), F.first("payload_bytes").alias("payload_bytes"))
+    responses = _responses(bodies.select("payload_digest", "payload_bytes", "body", "o.page_id", "o.url", "o.date"), _named("payload_digest", "page_id", "url", "date"))
+    small = _responses(captures.where(F.col("payload_bytes") < least_bytes), F.concat(F.lit("urn:uuid:"), F.uuid()))
+    _save(small.unionByName(responses).unionByName(revisits.withColumn("body", F.lit(None).cast("string"))), path)
+    forget(headers)
+
+
+def _order() -> Column:
+    return F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("url"), F.col("date"))
+
+
+def originals(headers: DataFrame) -> DataFrame:
+    """``payload_digest, first, copies`` of every payload that several records have; ``first`` is the original's order."""
+    return headers.groupBy("payload_digest").agg(F.min(_order()).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+
+
+def find_revisits(headers: DataFrame, first: DataFrame) -> DataFrame:
+    """Headers of all revisits, with the record, address and date of the original.
+
+    Rows that repeat each other are counted, and the original is taken off once.
+    """
+    # one row per digest in ``first``; adaptive execution splits the headers of a payload that very many records have
+    met = headers.join(first, "payload_digest")
+    counted = met.groupBy("page_id", "url", "date", "payload_digest", "payload_bytes", "first").agg(F.count("*").alias("times"))
+    is_first = _order().eqNullSafe(F.col("first"))
+    left = counted.withColumn("times", F.col("times") - F.when(is_first, 1).otherwise(0)).where("times > 0")
+    parts = left.withColumn("_m", F.explode(F.sequence(F.lit(0), F.col("times") - 1, F.lit(SAME_ROWS))))
+    rows = parts.withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.col("times") - F.col("_m"), F.lit(SAME_ROWS)))))
+    told = rows.select("page_id", "url", "date", "payload_digest", "payload_bytes", F.col("first.page_id").alias("_p"), F.col("first.url").alias("refers_to_url"), F.col("first.date").alias("refers_to_date"))
+    return told.withColumn("refers_to_record", _named("payload_digest", "_p", "refers_to_url", "refers_to_date")).drop("_p")
 
 
 def parse(rows: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -175,40 +243,6 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).assign(page_id=pd.array([r[2] for r in rows], dtype="Int64"))
 
 
-def find_revisits(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``record_id`` of every record whose payload an earlier one has, with the record, address and date of that one.
-
-    The original of a digest is the response with the smallest page id (null ids last), then the smallest record id.
-    Records that are revisits already are told their original anew, so archives can be put together first.
-    """
-    order = F.struct(F.col("page_id").isNull().alias("a"), F.col("page_id").alias("b"), F.col("record_id").alias("c"), F.col("url").alias("u"), F.col("date").alias("d"))
-    large = headers.where(F.col("payload_bytes") >= least_bytes)
-    response = F.col("record_type") == "response"
-    first = large.groupBy("payload_digest").agg(F.min(F.when(response, order)).alias("first"), F.count("*").alias("copies"))
-    first = first.where("copies > 1 AND first IS NOT NULL")
-    # one row per digest on this side; adaptive execution splits the headers of a digest that very many records share
-    met = large.select("record_id", "payload_digest").join(first, "payload_digest").where(F.col("record_id") != F.col("first.c"))
-    return met.select("record_id", F.col("first.c").alias("to_record"), F.col("first.u").alias("to_url"), F.col("first.d").alias("to_date"))
-
-
-def deduplicate(spark: SparkSession, source: str, path: str, least_bytes: int = LEAST_BYTES) -> None:
-    """Write the archives of ``source`` again, equal payloads of at least ``least_bytes`` once.
-
-    Only headers are compared.  Repeated rows are records of their own, so all but one of them become revisits.
-    """
-    revisits = find_revisits(read_archives(spark, source), least_bytes)
-    told = read_archives(spark, source, with_payload=True).join(revisits, "record_id", "left")
-    told = told.withColumns(
-        {
-            "record_type": F.when(F.col("to_record").isNotNull(), "revisit").otherwise(F.col("record_type")),
-            "refers_to_record": F.coalesce("to_record", "refers_to_record"),
-            "refers_to_url": F.when(F.col("to_record").isNotNull(), F.col("to_url")).otherwise(F.col("refers_to_url")),
-            "refers_to_date": F.coalesce("to_date", "refers_to_date"),
-        }
-    )
-    _save(told, F.when(F.col("record_type") == "response", F.col("payload")), path)
-
-
 def resolve(records: DataFrame) -> DataFrame:
     """``page_id, url, payload_bytes, payload_digest, record_type, refers_to``: revisits joined to the page of their response.
 

@@ -132,7 +132,7 @@ def test_archives_keep_equal_payloads_once(spark):
     whole = warc.read_archives(spark, f"{folder}/a", with_payload=True)
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2])
     assert sorted(((r.page_id, r.url, r.payload) for r in whole.collect()), key=key) == sorted(((p, u, h or "") for p, u, h in rows), key=key)
-    warc.deduplicate(spark, f"{folder}/a", f"{folder}/b")
+    warc.write_once(pages, f"{folder}/b")
     once = warc.read_archives(spark, f"{folder}/b", with_payload=True)
     kept = defaultdict(list)
     for r in once.collect():
@@ -153,16 +153,19 @@ def test_archives_keep_equal_payloads_once(spark):
         want.append((p, len(h.encode()), hashlib.sha256(h.encode()).hexdigest(), "revisit" if again else "response", first[h] if again else None))
     got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolve(once).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    warc.deduplicate(spark, f"{folder}/b", f"{folder}/c")  # nothing is left to do, and no revisit is lost
-    again = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolve(warc.read_archives(spark, f"{folder}/c")).collect()]
-    assert sorted(again, key=repr) == sorted(want, key=repr)
+    merged = whole.unionByName(once.where("record_type = 'response'")).withColumnRenamed("payload", "html")  # two archives as one table
+    warc.write_once(merged, f"{folder}/c", date_column="date")
+    again = warc.resolve(warc.read_archives(spark, f"{folder}/c")).collect()
+    assert len(again) == len(rows) + once.where("record_type = 'response'").count()
+    large = [r for r in again if r.payload_bytes >= 100]
+    assert sum(r.record_type == "response" for r in large) == len({r.payload_digest for r in large})
 
 
 def test_archives_of_an_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     folder = f"{shared_folder(spark)}/test-{uuid.uuid4().hex}"
     warc.write_archives(pages, f"{folder}/a")
-    warc.deduplicate(spark, f"{folder}/a", f"{folder}/b")
+    warc.write_once(pages, f"{folder}/b")
     assert warc.resolve(warc.read_archives(spark, f"{folder}/b")).count() == 0
 
 
