@@ -7,9 +7,9 @@ grow over it and those that a gram across it could swallow.  The largest such nu
 its rarest ``bound + 1`` grams at least one outlives any one edit, also among the rarest of the other word.
 
 Lists are merged in parts.  A gram that outlives the edit has the edit on one side, so the text on its other side
-and the length of the rest agree too, and both go into the key of the list.  Lists that may be long are split once
-more by either half of the rest, one of which the edit leaves alone.  Words whose grams may all be changed meet by
-the halves of the whole word.  Every pair is verified by its edit distance.
+and the length of the rest agree too, and both go into the key of the list.  A longer rest is cut into pieces of three
+letters, one of which holds the edit, and all others go into the key too, so that no part of a list is long.  Words
+whose grams may all be changed meet by the pieces of the whole word.  Every pair is verified by its edit distance.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fluoroframe.llm.common import filled
 from fluoroframe.plans.cut import cut
 
-SHORTEST, LONGEST = 2, 5
+SHORTEST, LONGEST = 2, 4
 #: A gram grows while more words than this hold it, or more than the share that keeps the dictionary small.
 GROWS_ABOVE = 64
 #: Frequent grams of one length are at most this many, as each takes more than this share of all places.
 MOST_GRAMS = 100_000
-#: Lists that may be longer are split by the halves of the rest.
-LONG_LIST = 256
+#: Letters of a piece of the rest that one key leaves open, and most pieces of a long rest.
+PIECE, PIECES = 3, 4
 # Fixed value: maximal runs of these letters are words.
 LETTERS = "A-Za-zÀ-ÿ"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -122,25 +122,20 @@ class Grams:
         bound = self.bound(word, places)
         ranked = sorted([(self.longest_list(word[p:e]), word[p:e], p, e) for p, e in places])
         keys: list[str] = []
-        for most, _, p, e in ranked[: bound + 1]:
-            keys += _parts(f"<{word[:e]}", word[e:], most > LONG_LIST)
-            keys += _parts(f">{word[p:]}", word[:p], most > LONG_LIST)
+        for _, _, p, e in ranked[: bound + 1]:
+            keys += _parts(f"<{word[:e]}", word[e:])
+            keys += _parts(f">{word[p:]}", word[:p])
         if len(places) <= bound:
-            keys += _parts("", word, True)
+            keys += _parts("", word)
         return keys
 
 
-def _parts(kept: str, rest: str, halves: bool) -> Iterator[str]:
+def _parts(kept: str, rest: str) -> Iterator[str]:
     """Keys for ``kept`` letters beside a ``rest`` with the edit, as the shorter or equal and as the longer word."""
-    for size in (len(rest), len(rest) - 1):
-        if size < 0:
-            continue
-        if halves:
-            half = size // 2
-            yield f"{kept}|{size}[{rest[:half]}"
-            yield f"{kept}|{size}]{rest[len(rest) - size + half:]}"
-        else:
-            yield f"{kept}|{size}"
+    for size in range(max(len(rest) - 1, 0), len(rest) + 1):
+        piece = max(PIECE, -(-size // PIECES))
+        for at in range(0, max(size, 1), piece):
+            yield f"{kept}|{size}|{at}|{rest[:at]}|{rest[len(rest) - max(size - at - piece, 0):]}"
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -160,7 +155,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     keyed = words.select("word", "n").mapInPandas(spread, "k long, word string, n long")
     other = keyed.select("k", F.col("word").alias("word2"), F.col("n").alias("n2"))
-    met = keyed.join(other, "k").where((F.col("word") < F.col("word2")) & one_apart("word", "word2"))
+    # a merge join: Spark takes the keys for as small as the words, but each word has some twenty
+    met = keyed.join(other.hint("merge"), "k").where((F.col("word") < F.col("word2")) & one_apart("word", "word2"))
     return met.select("word", "n", "word2", "n2").distinct()
 
 
