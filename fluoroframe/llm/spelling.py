@@ -153,11 +153,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 flat = np.fromiter((k for ks in keys for k in ks), dtype=np.uint64, count=sum(sizes)).view(np.int64)
                 yield pd.DataFrame({"k": flat, "word": part["word"].repeat(sizes).array, "n": part["n"].repeat(sizes).array})
 
-    keyed = words.select("word", "n").mapInPandas(spread, "k long, word string, n long")
-    other = keyed.select("k", F.col("word").alias("word2"), F.col("n").alias("n2"))
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    keyed = words.select("word", "n").repartition(tasks, "word").mapInPandas(spread, "k long, word string, n long")
+    # both sides have one form, so that their shuffle is written once and read twice
+    one, other = (keyed.select(*[F.col(c).alias(f"{c}{i}") for c in ("k", "word", "n")]) for i in (1, 2))
     # a merge join: Spark takes the keys for as small as the words, but each word has some twenty
-    met = keyed.join(other.hint("merge"), "k").where((F.col("word") < F.col("word2")) & one_apart("word", "word2"))
-    return met.select("word", "n", "word2", "n2").distinct()
+    met = one.join(other.hint("merge"), F.col("k1") == F.col("k2")).where((F.col("word1") < F.col("word2")) & one_apart("word1", "word2"))
+    return met.select(F.col("word1").alias("word"), F.col("n1").alias("n"), "word2", "n2").distinct()
 
 
 def one_apart(a: str, b: str) -> Column:
