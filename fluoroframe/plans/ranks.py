@@ -151,6 +151,26 @@ def weighted_median(counts: DataFrame, keys: list[str], value: str, weight: str,
     )
 
 
+def running_totals(rows: DataFrame, keys: Sequence[str], order: str, weight: str, name: str) -> DataFrame:
+    """Sum of ``weight`` up to each row in ascending ``order`` within its keys (rows with distinct keys and order).
+
+    Rows are dealt by ranges, each range sums by itself, and the totals of all earlier ranges (one row per range) are
+    added, so one key may hold the whole table.
+    """
+    keys = list(keys)
+    dealt = cut(rows.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum(weight).alias("_s"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*keys, "_part", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.withColumn(name, F.sum(weight).over(inside))
+    right = bases.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate([*keys, "_part"])})
+    on = F.lit(True)
+    for i, c in enumerate([*keys, "_part"]):
+        on &= summed[c].eqNullSafe(right[f"_k{i}"])
+    return summed.join(right, on).withColumn(name, F.col(name) + F.col("_base")).select(*rows.columns, name)
+
+
 def number_rows(
     df: DataFrame, keys: list[str], levels: list[str], name: str, start: int = 0
 ) -> DataFrame:
