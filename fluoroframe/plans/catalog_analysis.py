@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluoroframe.operators import morphology, statistics, traces
+from fluoroframe.operators import drift, morphology, statistics, traces
 from fluoroframe.plans import views
 from fluoroframe.plans.catalog import FILM, PLATE, STATIC, _static, _with, rounded
+from fluoroframe.sources.tiles import tiles_from_voxels, voxels_from_tiles
 
 QUERIES: dict = {}
 
@@ -160,3 +161,47 @@ SELECT image_id, image_layer, label, round(f0, 6) AS baseline_mean, round(peak,
   round(m, 6) AS mean_response, CAST(0 AS DOUBLE) AS threshold, round(on_t - b, 6) AS onset, round(dur, 6) AS duration_above,
   round((SELECT min(time_s) FROM r WHERE r.label = k.label AND r.time_s > k.tp AND r.mean_intensity <= k.f0 + (k.peak - k.f0) / 2) - tp, 6) AS decay_time, n AS n_frames FROM k"""),
 )
+
+# ---------------------------------------------------------------- drift
+
+_FRAMES = 4
+
+
+def _drifting(s, d):
+    """The plate in four frames, each moved by two rows and one column more than the one before; empty places are 0."""
+    plate = views.vox(s, d).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(_FRAMES - 1))))
+    seen = plate.select("image_id", "channel", "t", "z", (F.col("y") + 2 * F.col("t")).alias("y"), (F.col("x") + F.col("t")).alias("x"), "v")
+    places = plate.drop("v")
+    return places.join(seen, ["image_id", "channel", "t", "z", "y", "x"], "left").na.fill(0.0, ["v"])
+
+
+def _drift_tiles(s, d):
+    return tiles_from_voxels(_drifting(s, d), 128, 32)
+
+
+_SHIFT_SQL = """
+SELECT 'plate' AS image_id, 'g' AS channel, t, -2 * t AS dy, -t AS dx, {step_y} AS step_dy, {step_x} AS step_dx FROM (SELECT CAST(unnest(range(4)) AS INTEGER) AS t)"""
+add(
+    "estimate_drift",
+    lambda s, d: drift.estimate_drift(_drift_tiles(s, d), "g").drop("score"),
+    _SHIFT_SQL.format(step_y="-2 * t", step_x="-t"),
+)
+add(
+    "estimate_drift_previous",
+    lambda s, d: drift.estimate_drift(_drift_tiles(s, d), "g", against="previous").drop("score"),
+    _SHIFT_SQL.format(step_y="CASE WHEN t > 0 THEN -2 ELSE 0 END", step_x="CASE WHEN t > 0 THEN -1 ELSE 0 END"),
+)
+
+
+def _corrected(s, d):
+    tiles = _drift_tiles(s, d)
+    return rounded(voxels_from_tiles(drift.apply_drift_correction(tiles, drift.estimate_drift(tiles, "g"))))
+
+
+add(
+    "apply_drift_correction",
+    _corrected,
+    _with(PLATE, "size AS (SELECT max(y) AS h, max(x) AS w FROM plate)", tail="""
+SELECT image_id, 'g_corrected' AS channel, f.t AS t, z, y, x, round(CASE WHEN y + 2 * f.t <= h AND x + f.t <= w THEN v ELSE 0 END, 6) AS v
+FROM plate p, size, (SELECT CAST(unnest(range(4)) AS INTEGER) AS t) f"""),
+)
