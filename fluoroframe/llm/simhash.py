@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fluoroframe.llm.common import filled, free_name
-from fluoroframe.plans.cut import cut
+from fluoroframe.plans.cut import cut, forget
 from fluoroframe.plans.graph import connected
 
 BITS = 64
@@ -233,13 +233,14 @@ def _close(texts: DataFrame, bodies: DataFrame, shingle: int, least: float, turn
     met = spread.join(first, ["band", "slot"]).where("component <> src")
     pairs = cut(met.select("key", F.col("component").alias("dst"), "pivot", "src").distinct())
     # a pivot with many mates is laid out once per MATES of them
+    forget(spread)
     copies = cut(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / MATES).cast("int").alias("copies")))
     salted = pairs.join(copies, "pivot").withColumn("copy", F.pmod(F.xxhash64("key"), F.col("copies")).cast("int"))
     pivots = copies.join(bodies.withColumnRenamed("key", "pivot").withColumnRenamed("text", "other"), "pivot")
     pivots = pivots.select("pivot", "other", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     beside = salted.join(bodies, "key").join(pivots, ["pivot", "copy"])
     alike = beside.select("src", "dst", _similar(F.col("text"), F.col("other"), shingle).alias("s")).where(F.col("s") >= least)
-    return alike.select("src", "dst").distinct()
+    return cut(alike.select("src", "dst").distinct(), pairs, copies)
 
 
 def _meet(sets: DataFrame, least: float) -> DataFrame:
@@ -249,8 +250,7 @@ def _meet(sets: DataFrame, least: float) -> DataFrame:
     sets of ``n`` shingles and similarity ``least`` share one of the first n - least * n + 1 of each, and as the first
     one shared it leaves enough shingles behind it on both sides.
     """
-    sets = sets.withColumn("n", F.size("hashes"))
-    spread = sets.select("key", "component", "n", F.explode("hashes").alias("h"))
+    spread = sets.select("key", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     common = spread.groupBy("h").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"))
     met = spread.join(common.where("low <> high").select("h", "c"), "h")
     ordered = met.groupBy("key", "component", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("o"))
@@ -261,36 +261,39 @@ def _meet(sets: DataFrame, least: float) -> DataFrame:
     other = prefix.select("h", *[F.col(c).alias(f"{c}2") for c in ("key", "component", "n", "rest")])
     enough = 1 + F.least("rest", "rest2") >= (F.col("n") + F.col("n2")) * (least / (1 + least)) - 1e-9
     pairs = prefix.join(other, "h").where((F.col("component") < F.col("component2")) & enough)
-    pairs = cut(pairs.select("key", "component", "key2", "component2").distinct())
+    pairs = cut(pairs.select("key", "component", "key2", "component2").distinct(), prefix)
     beside = pairs.join(sets.select("key", "hashes"), "key")
     beside = beside.join(sets.select(F.col("key").alias("key2"), F.col("hashes").alias("hashes2")), "key2")
     both = F.size(F.array_intersect("hashes", "hashes2"))
     alike = beside.where(both / (F.size("hashes") + F.size("hashes2") - both) >= least)
-    return alike.select(F.col("component").alias("src"), F.col("component2").alias("dst")).distinct()
+    return cut(alike.select(F.col("component").alias("src"), F.col("component2").alias("dst")).distinct(), pairs, sets)
 
 
-def _merged(placed: DataFrame, marked: DataFrame, shingle: int, least: float) -> DataFrame:
+def _merged(placed: DataFrame, marked: DataFrame, texts_of: DataFrame, shingle: int, least: float) -> DataFrame:
     """``placed`` (fingerprint, first, component) with the components of similar texts made one; ``marked`` has
-    f, key, bands, text and place (a value of its own, so that copies of a text do not share a join key) of every row."""
+    f, key, bands and place (a value of its own, so that copies of a text do not share a join key) of every row,
+    ``texts_of`` place and text."""
     texts = marked.groupBy("key").agg(F.first("f").alias("fingerprint"), F.first("bands").alias("bands"), F.min("place").alias("place"))
     texts = cut(texts.join(placed.select("fingerprint", "component"), "fingerprint").select("key", "component", "bands", "place"))
     wanted = cut(_shared_bands(texts, "place").select("key", "place").distinct())
-    bodies = cut(marked.select("place", "text").join(wanted, "place").dropDuplicates(["key"]).select("key", "text"))
+    bodies = cut(texts_of.join(wanted, "place").dropDuplicates(["key"]).select("key", "text"))
     # only texts of shared bands can be joined; merging shares no further ones
-    texts = cut(texts.join(wanted.select("key"), "key", "left_semi").select("key", "component", "bands"))
+    texts = cut(texts.join(wanted.select("key"), "key", "left_semi").select("key", "component", "bands"), texts, wanted)
     for turn in range(TURNS + 1):
         if turn < TURNS:
-            found = cut(_close(texts, bodies, shingle, least, turn))
+            found = _close(texts, bodies, shingle, least, turn)
         else:
-            left = cut(_shared_bands(texts).select("key", "component").distinct())
-            sets = cut(left.join(bodies, "key").select("key", "component", _shingles(F.col("text"), shingle).alias("hashes")))
-            found = cut(_meet(sets, least))
-        if not found.limit(1).count():
-            continue
-        more = cut(connected(found, []).select(F.col("node").alias("component"), "root"))
-        placed, texts = (
-            cut(df.join(more, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"), df) for df in (placed, texts)
-        )
+            left = _shared_bands(texts).select("key", "component").distinct()
+            sets = cut(left.join(bodies, "key").select("key", "component", _shingles(F.col("text"), shingle).alias("hashes")), bodies)
+            found = _meet(sets, least)
+        if found.limit(1).count():
+            more = cut(connected(found, []).select(F.col("node").alias("component"), "root"))
+            placed, texts = (
+                cut(df.join(more, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"), df) for df in (placed, texts)
+            )
+            forget(more)
+        forget(found)
+    forget(texts)
     return placed
 
 
@@ -301,21 +304,24 @@ def keep_one(
 
     Fingerprints within ``radius`` bits are linked, and, if ``least`` is given, so are all texts whose sets of word
     shingles have a similarity of ``least`` or more and that share bands with others.  Of each component the row with the smallest id stays (null ids last, then
-    the smallest text hash); of rows equal in both one stays.  Null texts count as empty.
+    the smallest text hash); of rows equal in both one stays.  Null texts count as empty.  ``docs`` is read
+    several times and has to give the same rows, as a table does.
     """
-    mark, order = free_name(docs, "_mark"), free_name(docs, "_order")
+    order = free_name(docs, "_order")
     rank = F.struct(
         F.col(f"`{id_column}`").isNull().alias("a"), F.col(f"`{id_column}`").alias("b"), F.xxhash64(filled(text_column)).alias("c")
     )
-    marked = cut(docs.withColumn(mark, _sketched(F.col(f"`{text_column}`"), shingle)).withColumn(order, rank))
-    field = lambda name: F.col(f"`{mark}`.{name}")
-    prints = cut(marked.groupBy(field("f").alias("fingerprint")).agg(F.min(f"`{order}`").alias("first")))
+    # sketches only; texts are read again where they are compared, and never written
+    sketched = docs.select(rank.alias("place"), _sketched(F.col(f"`{text_column}`"), shingle).alias("m"))
+    marked = cut(sketched.select("place", *(["m.*"] if least is not None else ["m.f"])))
+    prints = cut(marked.groupBy(F.col("f").alias("fingerprint")).agg(F.min("place").alias("first")))
     near = connected(links(prints, radius), []).select(F.col("node").alias("fingerprint"), "root")
     placed = prints.join(near, "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("component"))
-    placed = cut(placed)
+    placed = cut(placed, prints)
     if least is not None:
-        placed = _merged(placed, marked.select(f"`{mark}`.*", F.col(f"`{order}`").alias("place"), filled(text_column).alias("text")), shingle, least)
+        placed = _merged(placed, marked, docs.select(rank.alias("place"), filled(text_column).alias("text")), shingle, least)
+    forget(marked)
     groups = placed.groupBy("component").agg(F.min("first").alias(order))
     # a chosen row carries the smallest order value of its component, so the join key is spread
-    kept = marked.join(groups.select(f"`{order}`"), order, "left_semi")
+    kept = docs.withColumn(order, rank).join(groups.select(f"`{order}`"), order, "left_semi")
     return kept.dropDuplicates([order]).select(*[f"`{c}`" for c in docs.columns])
