@@ -39,6 +39,8 @@ def components_of(
 
     def label_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["z", "y", "x"], ignore_index=True)
+        if len(pdf) and pdf[["z", "y", "x"]].to_numpy().max() >> 21:
+            raise ValueError("voxel positions must be below 2097152 on every axis")
         grid, _, _ = dense(pdf, box, (0, 0, 0))
         a, b = neighbour_pairs(grid, steps)
         root = merge_pairs(len(pdf), a, b)

@@ -89,7 +89,8 @@ def measure_intensity_tiles(
 ) -> DataFrame:
     """``measure_intensity`` on tiles: join on the tile key, then unpack both arrays.
 
-    The label tiles share the tiling of the image; their data are label numbers.  A
+    The label tiles share the tiling of the image; their data are label numbers, whole
+    ones (``label_tiles``) or, below 16777216, floats.  A
     labelled tile without an image tile of a wanted channel is an error.
     """
     if not channels:
@@ -99,6 +100,8 @@ def measure_intensity_tiles(
     lab = label_tiles.where(F.exists("data", lambda v: v > 0)).select(
         *key, F.col("data").alias("_lab"), F.explode(F.array(*[F.lit(c) for c in channels])).alias("channel")
     )
+    whole = dict(label_tiles.dtypes)["data"] == "array<bigint>"
+    number = "long" if whole else "int"
     both = lab.join(tiles.where(F.col("channel").isin(list(channels))), [*key, "channel"], "left")
     mismatch = F.raise_error(F.lit("shape mismatch: label tile and image tile differ in size"))
     absent = F.raise_error(F.lit("shape mismatch: label tile without image tile"))
@@ -110,7 +113,7 @@ def measure_intensity_tiles(
     pix = pix.select(
         "image_id",
         "channel",
-        F.col("p._lab").cast("int").alias("label"),
+        F.col("p._lab").cast(number).alias("label"),
         "z",
         (F.col("y0") + F.expr("i div w")).alias("y"),
         (F.col("x0") + F.col("i") % F.col("w")).alias("x"),
@@ -171,7 +174,8 @@ def measure_intensity_over_time(
 ) -> DataFrame:
     """Long table of per-frame statistics for every (frame, label).
 
-    ``static`` labels are one frame applied to all; otherwise each frame has its own.
+    ``static`` labels are one frame applied to all; otherwise each frame has its own.  A label outside the image is an
+    error in both forms.
     By default labels without a ``t`` column are static.
     """
     props = _check_properties(properties or TIME_PROPERTIES) or ["mean_intensity"]
@@ -180,7 +184,9 @@ def measure_intensity_over_time(
     roi = labels.where("label > 0")
     if static:
         roi = roi.drop("t")
-        found = movie.join(roi, ["image_id", "z", "y", "x"])
+        met = roi.join(movie.withColumn("_seen", F.lit(True)), ["image_id", "z", "y", "x"], "left")
+        outside = F.raise_error(F.lit("shape mismatch: labelled voxel outside the image")).cast("string")
+        found = met.withColumn("channel", F.when(F.col("_seen"), F.col("channel")).otherwise(outside)).drop("_seen")
     else:
         chans = movie.select("image_id", "channel").distinct() if channel is None else None
         roi = roi.withColumn("channel", F.lit(channel)) if chans is None else roi.join(chans, "image_id")

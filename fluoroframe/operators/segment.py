@@ -18,6 +18,7 @@ from fluoroframe.operators.components import (
 )
 from fluoroframe.operators.filters import local_threshold
 from fluoroframe.operators.threshold import above_threshold, resolve_threshold
+from fluoroframe.plans.blocks import packed
 from fluoroframe.plans.cut import cut
 from fluoroframe.plans.graph import connected
 from fluoroframe.plans.ranks import number_rows, weighted_median
@@ -36,7 +37,7 @@ def threshold_mask(
         block = side - F.when(side % 2 == 0, 1).otherwise(0)
         value = images.select("image_id", F.concat(F.lit("local_block_"), block.cast("string")).alias("threshold_value"))
         return mask, value
-    limits = resolve_threshold(vox, threshold, bins)
+    limits = resolve_threshold(vox, threshold, bins, images)
     mask = above_threshold(vox, limits).select(*VOXEL_KEY)
     return mask, limits.select("image_id", F.col("threshold").cast("string").alias("threshold_value"))
 
@@ -164,8 +165,7 @@ def segment_with_model(
     cols = ["image_id", "t", "z", "y", "x", "ty", "tx"]
     found = still.select(*["image_id", "t", "z", "ty", "tx", "y0", "x0", "h", "w", "data"]).mapInPandas(run, schema)
     # a part is one label of one tile; its id is the packed position of its first pixel
-    pid = F.shiftleft(F.col("z").cast("long"), 42) + F.shiftleft(F.col("y").cast("long"), 21) + F.col("x")
-    found = cut(found.withColumn("pid", pid))
+    found = cut(found.withColumn("pid", packed()))
     part_key = ["image_id", "t", "z", "ty", "tx", "part"]
     first = found.groupBy(*part_key).agg(F.min("pid").alias("local"), F.count("*").alias("n"))
     pix = cut(found.join(first.drop("n"), part_key).select(*cols, "local"))

@@ -16,20 +16,33 @@ def _finite(vox: DataFrame) -> DataFrame:
     return vox.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
 
 
-def histogram(vox: DataFrame, bins: int | str = 256) -> DataFrame:
+def _by_dtype(vox: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Voxels of images with whole-number pixels, and all others; an image without a dtype is one of the others."""
+    kind = images.select("image_id", F.lower("dtype").rlike("^u?int").alias("_whole"))
+    marked = vox.join(kind, "image_id", "left")
+    whole = F.coalesce("_whole", F.lit(False))
+    return marked.where(whole).drop("_whole"), marked.where(~whole).drop("_whole")
+
+
+def histogram(vox: DataFrame, bins: int | str = 256, images: DataFrame | None = None) -> DataFrame:
     """Bin counts per layer: bin, center, h, plus the value range mn and mx.
 
-    ``bins`` equal bins over [min, max], or "integer" for one bin per grey level.
-    Two scans with tiny shuffles; empty inner bins are included.  Everything after
-    this works on at most ``bins`` rows per layer.
+    ``bins`` equal bins over [min, max], empty ones included, or "integer" for one bin per grey level.  With ``images``
+    layers of integer images have grey levels, all others ``bins``.  Grey levels without a voxel are left out but for
+    the two beside each level that has some, which is where a score of the triangle method can be largest; so the rows
+    follow the levels that exist, whatever the range is.
     """
+    if images is not None and bins != "integer":
+        whole, other = _by_dtype(vox, images)
+        return histogram(whole, "integer").unionByName(histogram(other, bins))
     pix = _finite(vox)
     span = pix.groupBy(*LAYER).agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
     if bins == "integer":
         got = pix.groupBy(*LAYER, F.floor("v").cast("long").alias("bin")).agg(F.count("*").alias("h"))
-        full = span.withColumn("bin", F.explode(F.sequence(F.floor("mn"), F.floor("mx"))))
-        out = full.join(got, [*LAYER, "bin"], "left")
-        return out.withColumn("center", F.col("bin").cast("double")).na.fill(0, ["h"])
+        levels = F.explode(F.array(*[F.struct((F.col("bin") + d).alias("bin"), (F.col("h") if d == 0 else F.lit(0).cast("long")).alias("h")) for d in (-1, 0, 1)]))
+        near = got.select(*LAYER, levels.alias("n")).select(*LAYER, "n.*").groupBy(*LAYER, "bin").agg(F.max("h").alias("h"))
+        out = near.join(span, LAYER).where((F.col("bin") >= F.floor("mn")) & (F.col("bin") <= F.floor("mx")))
+        return out.select(*LAYER, "mn", "mx", "bin", "h", F.col("bin").cast("double").alias("center"))
     n = int(bins)
     width = F.col("mx") - F.col("mn")
     at = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("mn")) / width * n), F.lit(n - 1)))
@@ -65,8 +78,8 @@ def _best(scored: DataFrame) -> DataFrame:
     return top.select(*LAYER, value.alias("threshold"))
 
 
-def otsu(vox: DataFrame, bins: int | str = 256) -> DataFrame:
-    h = histogram(vox, bins)
+def otsu(vox: DataFrame, bins: int | str = 256, images: DataFrame | None = None) -> DataFrame:
+    h = histogram(vox, bins, images)
     hc = F.col("h") * F.col("center")
     cum = (
         h.withColumn("w1", F.sum("h").over(_up()).cast("double"))
@@ -82,8 +95,8 @@ def otsu(vox: DataFrame, bins: int | str = 256) -> DataFrame:
     return _best(cum.withColumn("score", F.coalesce(F.col("w1") * F.col("w2n") * gap * gap, F.lit(-1.0))))
 
 
-def yen(vox: DataFrame, bins: int | str = 256) -> DataFrame:
-    h = histogram(vox, bins)
+def yen(vox: DataFrame, bins: int | str = 256, images: DataFrame | None = None) -> DataFrame:
+    h = histogram(vox, bins, images)
     total = Window.partitionBy(*LAYER)
     p = h.withColumn("p", F.col("h") / F.sum("h").over(total)).withColumn("pp", F.col("p") * F.col("p"))
     cum = (
@@ -97,8 +110,8 @@ def yen(vox: DataFrame, bins: int | str = 256) -> DataFrame:
     return _best(cum.withColumn("score", F.coalesce(F.when(ratio > 0, F.log(ratio)), F.lit(float("-inf")))))
 
 
-def triangle(vox: DataFrame, bins: int | str = 256) -> DataFrame:
-    h = histogram(vox, bins)
+def triangle(vox: DataFrame, bins: int | str = 256, images: DataFrame | None = None) -> DataFrame:
+    h = histogram(vox, bins, images)
     shape = h.groupBy(*LAYER).agg(
         F.max_by("bin", F.struct("h", (-F.col("bin")).alias("b"))).alias("k"),
         F.max("h").alias("top"),
@@ -133,11 +146,11 @@ def percentiles(vox: DataFrame, probs: Mapping[str, float]) -> DataFrame:
     return exact_percentiles(_finite(vox), LAYER, "v", dict(probs))
 
 
-def resolve_threshold(vox: DataFrame, spec: float | str, bins: int | str = 256) -> DataFrame:
-    """Threshold per layer from a number, "zero", "otsu", "yen" or "triangle" (A9)."""
+def resolve_threshold(vox: DataFrame, spec: float | str, bins: int | str = 256, images: DataFrame | None = None) -> DataFrame:
+    """Threshold per layer from a number, "zero", "otsu", "yen" or "triangle"; ``images`` as in ``histogram``."""
     methods = {"otsu": otsu, "yen": yen, "triangle": triangle}
     if isinstance(spec, str) and spec.strip().lower() in methods:
-        return methods[spec.strip().lower()](vox, bins)
+        return methods[spec.strip().lower()](vox, bins, images)
     if isinstance(spec, str) and spec.strip().lower() == "zero":
         value = 0.0
     else:
@@ -149,6 +162,6 @@ def resolve_threshold(vox: DataFrame, spec: float | str, bins: int | str = 256)
 
 
 def above_threshold(vox: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Voxels strictly above their layer's threshold."""
-    joined = salted_join(_finite(vox), thresholds, LAYER, ["t", "z", "y", "x"])
+    """Voxels strictly above their layer's threshold, infinite ones too."""
+    joined = salted_join(vox.where(~F.isnan("v")), thresholds, LAYER, ["t", "z", "y", "x"])
     return joined.where("v > threshold").drop("threshold")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluoroframe.operators import drift, morphology, statistics, traces
+from fluoroframe.operators import drift, measure, morphology, statistics, threshold, traces
 from fluoroframe.plans import views
 from fluoroframe.plans.catalog import FILM, PLATE, STATIC, _static, _with, rounded
-from fluoroframe.sources.tiles import tiles_from_voxels, voxels_from_tiles
+from fluoroframe.sources.tiles import label_tiles, tiles_from_voxels, voxels_from_tiles
 
 QUERIES: dict = {}
 
@@ -205,3 +205,55 @@ add(
 SELECT image_id, 'g_corrected' AS channel, f.t AS t, z, y, x, round(CASE WHEN y + 2 * f.t <= h AND x + f.t <= w THEN v ELSE 0 END, 6) AS v
 FROM plate p, size, (SELECT CAST(unnest(range(4)) AS INTEGER) AS t) f"""),
 )
+
+# ---------------------------------------------------------------- integer images and label tiles
+
+LEVELS = """lv AS (SELECT CAST(floor(v * 400) AS BIGINT) AS k, CAST(count(*) AS DOUBLE) AS h FROM plate GROUP BY 1)"""
+
+
+def _grey(method):
+    def run(s, d):
+        vox = views.vox(s, d).withColumn("v", F.floor(F.col("v") * 400).cast("double"))
+        return rounded(method(vox, images=views.images(s, d).withColumn("dtype", F.lit("int16"))))
+
+    return run
+
+
+_PICK = "SELECT 'plate' AS image_id, 'g' AS channel, CAST(k AS DOUBLE) AS threshold FROM sc ORDER BY score DESC NULLS LAST, k LIMIT 1"
+add(
+    "otsu_threshold_integer",
+    _grey(threshold.otsu),
+    _with(PLATE, LEVELS, "c AS (SELECT k, sum(h) OVER u AS w1, sum(h * k) OVER u AS s1, sum(h) OVER () AS n, sum(h * k) OVER () AS s FROM lv WINDOW u AS (ORDER BY k))",
+          "sc AS (SELECT k, w1 * (n - w1) * (s1 / w1 - (s - s1) / nullif(n - w1, 0)) ** 2 AS score FROM c)", tail=_PICK),
+)
+add(
+    "yen_threshold_integer",
+    _grey(threshold.yen),
+    _with(PLATE, LEVELS, "p AS (SELECT k, h / sum(h) OVER () AS p FROM lv)",
+          "c AS (SELECT k, sum(p) OVER u AS c1, sum(p * p) OVER u AS q, sum(p * p) OVER (ORDER BY k DESC) - p * p AS r FROM p WINDOW u AS (ORDER BY k))",
+          "sc AS (SELECT k, CASE WHEN r > 1e-18 THEN ln((c1 * (1 - c1)) ** 2 / (q * r)) END AS score FROM c)", tail=_PICK),
+)
+add(
+    "triangle_threshold_integer",
+    _grey(threshold.triangle),
+    _with(PLATE, LEVELS, "lim AS (SELECT min(k) AS a, max(k) AS b, max(h) AS top, arg_min(k, (-h, k)) AS pk FROM lv)",
+          "al AS (SELECT unnest(range(a, b + 1)) AS k FROM lim)",
+          "m AS (SELECT al.k, coalesce(h, 0) AS h, CASE WHEN pk - a < b - pk THEN b - al.k ELSE al.k - a END AS x, CASE WHEN pk - a < b - pk THEN b - pk ELSE pk - a END AS run, top FROM al LEFT JOIN lv ON lv.k = al.k, lim)",
+          "sc AS (SELECT k, x, top / sqrt(top * top + run * run) * x - run / sqrt(top * top + run * run) * h AS score FROM m WHERE x < run)",
+          tail="SELECT 'plate' AS image_id, 'g' AS channel, CAST(k AS DOUBLE) AS threshold FROM sc ORDER BY score DESC, x LIMIT 1"),
+)
+
+
+def _far_labels(s, d):
+    """Labels beyond the whole numbers that floats hold."""
+    return views.labels(s, d).withColumn("label", F.col("label").cast("long") + 16777215)
+
+
+add(
+    "measure_label_tiles",
+    lambda s, d: rounded(measure.measure_intensity_tiles(tiles_from_voxels(views.vox(s, d), 128, 32), label_tiles(_far_labels(s, d), views.images(s, d), 128, 32), None, ["g"])),
+    _with(PLATE, tail="""
+SELECT image_id, label + 16777215 AS label, count(*) AS area, round(avg(y), 6) AS "centroid-0", round(avg(x), 6) AS "centroid-1",
+  round(avg(v), 6) AS mean_intensity_g, round(max(v), 6) AS max_intensity_g, round(min(v), 6) AS min_intensity_g,
+  CAST(count(*) AS DOUBLE) AS area_px FROM plate GROUP BY image_id, label"""),
+)

@@ -9,6 +9,8 @@ images: image_id, path, axes, size_t, size_z, size_y, size_x, voxel_z, voxel_y,
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 VOXEL_KEY = ["image_id", "t", "z", "y", "x"]
@@ -107,6 +109,34 @@ def tiles_from_voxels(vox: DataFrame, tile_h: int = 256, tile_w: int = 256) -> D
     )
 
 
+def label_tiles(labels: DataFrame, images: DataFrame, tile_h: int = 256, tile_w: int = 256) -> DataFrame:
+    """Sparse labels as tiles of whole numbers (0 where nothing is labelled), for every tile that has a label.
+
+    The tiling is that of ``tiles_from_voxels``: tiles at the end of the image are cut to its size.  A label outside
+    the image, two labels at one place, or an image without a size is an error.
+    """
+    size = images.select("image_id", F.col("size_y").alias("_h"), F.col("size_x").alias("_w"))
+    # one row per image beside the labels; a plain join, which adaptive execution splits for an image of very many
+    marked = labels.where("label > 0").join(size, "image_id", "left")
+    inside = (F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("_h")) & (F.col("x") < F.col("_w"))
+    checked = F.when(inside, F.col("label")).otherwise(F.raise_error(F.lit("shape mismatch: labelled voxel outside the image")).cast("long"))
+    placed = marked.select("image_id", "t", "z", "y", "x", "_h", "_w", checked.cast("long").alias("label"), F.expr(f"cast(y div {tile_h} as int)").alias("ty"), F.expr(f"cast(x div {tile_w} as int)").alias("tx"))
+    schema = "image_id string, t int, z int, ty int, tx int, y0 int, x0 int, h int, w int, data array<long>"
+
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        image, t, z, ty, tx = key
+        y0, x0 = ty * tile_h, tx * tile_w
+        h, w = min(tile_h, int(pdf["_h"].iloc[0]) - y0), min(tile_w, int(pdf["_w"].iloc[0]) - x0)
+        at = (pdf["y"].to_numpy() - y0) * w + pdf["x"].to_numpy() - x0
+        if len(np.unique(at)) < len(at):
+            raise ValueError("two labels at one place")
+        data = np.zeros(h * w, dtype=np.int64)
+        data[at] = pdf["label"].to_numpy()
+        return pd.DataFrame({"image_id": [image], "t": t, "z": z, "ty": ty, "tx": tx, "y0": y0, "x0": x0, "h": h, "w": w, "data": [data]})
+
+    return placed.groupBy("image_id", "t", "z", "ty", "tx").applyInPandas(fill, schema)
+
+
 def layer_catalog(vox: DataFrame, images: DataFrame) -> DataFrame:
     """One row per (image, channel) with its extent and the image metadata."""
     size = vox.groupBy("image_id", "channel").agg(
@@ -162,10 +192,13 @@ def position_warnings(vox: DataFrame) -> DataFrame:
 
 
 def apply_mask(vox: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Voxels under a positive label; without labels all voxels."""
+    """Voxels under a positive label; without labels all voxels.  A mask outside the image is an error."""
     if labels is None:
         return vox
-    return vox.join(labels.where("label > 0").select(*VOXEL_KEY), VOXEL_KEY, "left_semi")
+    wanted = labels.where("label > 0").select(*VOXEL_KEY).distinct()
+    met = wanted.join(vox.withColumn("_seen", F.lit(True)), VOXEL_KEY, "left")
+    outside = F.raise_error(F.lit("mask shape mismatch: masked voxel outside the image")).cast("string")
+    return met.withColumn("channel", F.when(F.col("_seen"), F.col("channel")).otherwise(outside)).select(*vox.columns)
 
 
 def binary_mask(vox: DataFrame, threshold: float | None = None) -> DataFrame:
