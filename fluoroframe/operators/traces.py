@@ -1,4 +1,4 @@
-"""Time courses: baselines, normalization and response features per trace.
+"""Time courses: baselines, normalization, response features and smoothing per trace.
 
 A trace is the rows of one key (image, layer, label) over time.  Long traces are cut into chunks of consecutive
 times: every chunk is summed in order by itself, and only its sums, first and last point meet those of its trace.
@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 METHODS = ("raw", "baseline_subtract", "f_over_f0", "delta_f_over_f0", "zscore", "minmax")
@@ -124,3 +126,61 @@ def timecourse_features(
         *keys, *keep, "baseline_mean", "peak", (F.col("peak") - level).alias("amplitude"), (F.col("_tp") - F.col("_b")).alias("time_to_peak"), "auc", "mean_response", "threshold",
         (F.col("_on") - F.col("_b")).alias("onset"), "duration_above", (F.col("_td") - F.col("_tp")).alias("decay_time"), F.coalesce("n_frames", F.lit(0)).alias("n_frames"),
     )
+
+
+SMOOTHERS = ("rolling_mean", "gaussian", "savgol")
+
+
+def smooth_timecourse(
+    table: DataFrame, value: str = "mean_intensity", method: str = "rolling_mean", half_width: int = 2, sigma: float = 1.0, degree: int = 2,
+    keys: Sequence[str] = TRACE, order: str = "time_index",
+) -> DataFrame:
+    """All rows with ``<value>_smooth``, from the values of the trace at most ``half_width`` frames away.
+
+    "rolling_mean" is their mean, "gaussian" their mean weighted by the distance in frames, "savgol" the value of the
+    polynomial of ``degree`` fitted to them (of a lower degree where fewer frames are there).  At the ends of a trace
+    and beside missing frames the frames that exist count; null and NaN values count as missing and get a value from
+    their neighbours, null if there are none.  Chunks of ``CHUNK`` frames overlap by the half width, so one long trace
+    is many tasks and the result does not depend on the chunks.
+    """
+    if method not in SMOOTHERS:
+        raise ValueError(f"method must be one of {SMOOTHERS}")
+    if half_width < 0 or (method == "gaussian" and not sigma > 0) or degree < 0:
+        raise ValueError("half_width and degree must not be negative, sigma must be positive")
+    i = F.col(f"`{order}`").cast("long")
+    whole = lambda at: F.floor(at / CHUNK).cast("long")
+    rows = table.withColumn("_own", whole(i)).withColumn("_c", F.explode_outer(F.sequence(whole(i - half_width), whole(i + half_width))))
+    near = Window.partitionBy(*keys, "_c").orderBy(i).rangeBetween(-half_width, half_width)
+    v = _number(value)
+    point = F.when(v.isNotNull(), F.struct(i.alias("i"), v.alias("v")))
+    seen = rows.withColumn("_near", F.collect_list(point).over(near)).where(F.col("_c").eqNullSafe(F.col("_own")))
+    if method == "savgol":
+        smooth = _fitted(half_width, degree)(i, F.col("_near.i"), F.col("_near.v"))
+    else:
+        gap = lambda p: (p["i"] - i).cast("double")
+        weight = (lambda p: F.lit(1.0)) if method == "rolling_mean" else (lambda p: F.exp(-gap(p) * gap(p) / (2 * sigma * sigma)))
+        total = lambda term: F.aggregate("_near", F.lit(0.0), lambda a, p: a + term(p))
+        smooth = F.when(F.size("_near") > 0, total(lambda p: weight(p) * p["v"]) / total(weight))
+    return seen.withColumn(f"{value}_smooth", smooth).drop("_own", "_c", "_near")
+
+
+def _fitted(half_width: int, degree: int):
+    """Value at the middle of a polynomial fitted to the frames of a window."""
+    places = np.arange(-half_width, half_width + 1)
+    full = np.linalg.pinv(np.vander(places.astype(float), min(degree, 2 * half_width) + 1, increasing=True))[0]
+
+    @F.pandas_udf("double")
+    def fit(middle: pd.Series, frames: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for m, f, v in zip(middle, frames, values):
+            at = np.asarray(f) - m if len(f) else np.zeros(0)
+            if len(at) == len(places) and (np.sort(at) == places).all():
+                out.append(float(full @ np.asarray(v)[np.argsort(at)]))
+            elif len(at):
+                most = min(degree, len(np.unique(at)) - 1)
+                out.append(float(np.linalg.pinv(np.vander(at.astype(float), most + 1, increasing=True))[0] @ np.asarray(v)))
+            else:
+                out.append(None)
+        return pd.Series(out, dtype="float64")
+
+    return fit

@@ -162,6 +162,26 @@ SELECT image_id, image_layer, label, round(f0, 6) AS baseline_mean, round(peak,
   round((SELECT min(time_s) FROM r WHERE r.label = k.label AND r.time_s > k.tp AND r.mean_intensity <= k.f0 + (k.peak - k.f0) / 2) - tp, 6) AS decay_time, n AS n_frames FROM k"""),
 )
 
+for _method, _weight in (("rolling_mean", "1"), ("gaussian", "exp(-(b.time_index - a.time_index) * (b.time_index - a.time_index) / (2 * 1.5 * 1.5))")):
+    add(
+        f"smooth_timecourse_{_method}",
+        lambda s, d, m=_method: rounded(traces.smooth_timecourse(_static(s, d), method=m, half_width=3, sigma=1.5).select("image_id", "label", "time_index", "mean_intensity_smooth")),
+        _with(PLATE, FILM, STATIC, tail=f"""
+SELECT a.image_id, a.label, a.time_index, round(sum({_weight} * b.mean_intensity) / sum({_weight}), 6) AS mean_intensity_smooth
+FROM tc a JOIN tc b ON a.label = b.label AND b.time_index BETWEEN a.time_index - 3 AND a.time_index + 3 GROUP BY ALL"""),
+    )
+# the middle of a fitted parabola by Cramer's rule from sums of powers
+add(
+    "smooth_timecourse_savgol",
+    lambda s, d: rounded(traces.smooth_timecourse(_static(s, d), method="savgol", half_width=3).select("image_id", "label", "time_index", "mean_intensity_smooth")),
+    _with(PLATE, FILM, STATIC, tail=""",
+near AS (SELECT a.image_id, a.label, a.time_index, b.time_index - a.time_index AS k, b.mean_intensity AS v FROM tc a JOIN tc b ON a.label = b.label AND b.time_index BETWEEN a.time_index - 3 AND a.time_index + 3),
+sums AS (SELECT image_id, label, time_index, CAST(count(*) AS DOUBLE) AS s0, CAST(sum(k) AS DOUBLE) AS s1, CAST(sum(k * k) AS DOUBLE) AS s2, CAST(sum(k * k * k) AS DOUBLE) AS s3,
+  CAST(sum(k * k * k * k) AS DOUBLE) AS s4, sum(v) AS t0, sum(k * v) AS t1, sum(k * k * v) AS t2 FROM near GROUP BY ALL)
+SELECT image_id, label, time_index, round((t0 * (s2 * s4 - s3 * s3) - t1 * (s1 * s4 - s2 * s3) + t2 * (s1 * s3 - s2 * s2))
+  / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)), 6) AS mean_intensity_smooth FROM sums"""),
+)
+
 # ---------------------------------------------------------------- drift
 
 _FRAMES = 4

@@ -181,3 +181,28 @@ def test_features_in_chunks_of_any_length(spark, monkeypatch, chunk):
             assert r.duration_above == pytest.approx(sum(b - a for (a, v), (b, _) in pairs if v >= level))
         else:
             assert r.threshold is None and r.onset is None
+
+
+@pytest.mark.parametrize("method", traces.SMOOTHERS)
+@pytest.mark.parametrize("chunk", [4096, 5, 1])
+def test_smoothing_does_not_see_the_chunks(spark, monkeypatch, method, chunk):
+    monkeypatch.setattr(traces, "CHUNK", chunk)
+    table, rows = course(spark)
+    got = traces.smooth_timecourse(table, method=method, half_width=2, sigma=1.3).collect()
+    assert len(got) == len(rows)
+    points = {}
+    for x in rows:
+        if x[5] is not None and not math.isnan(x[5]):
+            points.setdefault(x[2], []).append((x[3], x[5]))
+    for r in got:
+        near = [(i - r.time_index, v) for i, v in points.get(r.label, []) if abs(i - r.time_index) <= 2]
+        if not near:
+            assert r.mean_intensity_smooth is None
+            continue
+        if method == "savgol":
+            degree = min(2, len({i for i, _ in near}) - 1)
+            want = np.polynomial.polynomial.polyfit(*zip(*near), degree)[0]
+        else:
+            weights = [1.0 if method == "rolling_mean" else math.exp(-i * i / (2 * 1.3**2)) for i, _ in near]
+            want = sum(w * v for w, (_, v) in zip(weights, near)) / sum(weights)
+        assert r.mean_intensity_smooth == pytest.approx(want, abs=1e-9)
