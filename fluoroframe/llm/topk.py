@@ -22,24 +22,28 @@ BINS = 64
 BLOCK_VALUES = 1 << 20  # vector components in a block of candidates
 QUERY_BLOCK = 2048  # queries in a block
 EXACT_DOUBLE = 1 << 53
-LARGEST = 1 << 62
+EXACT_LONG = 1 << 62
+#: Scores of this size or more cannot be ranked as 64-bit integers.
+LARGEST = 1 << 61
 
 
 def quantised(df: DataFrame, id_column: str, vector_column: str, scale: int = 256) -> DataFrame:
     """``id, dim, vec, norm``: components as floor(scale * x) in 64-bit integers.
 
-    Rows with a null id, a null or empty vector, a null or non-finite component, or components whose squares could
-    leave 62 bits take no part.
+    Rows with a null id, a null or empty vector, or a null or non-finite component take no part.  A component of 2^62 or
+    more is an error.
     """
     x = F.col(f"`{vector_column}`")
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) * scale < float(1 << 31)))
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+    beyond = F.raise_error(F.lit("a vector component is too large for 64-bit integers")).cast("double")
+    fits = lambda v: F.when(F.abs(v) < float(EXACT_LONG), v).otherwise(beyond)
     rows = df.where(F.col(f"`{id_column}`").isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine).select(
         F.col(f"`{id_column}`").cast("long").alias("id"),
         F.size(x).alias("dim"),
-        F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("vec"),
+        F.transform(x, lambda v: F.floor(fits(v.cast("double") * scale)).cast("long")).alias("vec"),
     )
     rows = rows.withColumn("norm", F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
-    return rows.where(F.col("norm") < float(LARGEST)).withColumn("norm", F.ceil(F.sqrt("norm")) + 1)
+    return rows.withColumn("norm", F.ceil(F.least(F.sqrt("norm"), F.lit(float(LARGEST)))) + 1)
 
 
 def _candidate_blocks(rows: DataFrame) -> DataFrame:
@@ -69,8 +73,13 @@ def _scores(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bound = row.dim * max(1, int(np.abs(cand).max(initial=0))) * max(1, int(np.abs(query).max(initial=0)))
     if bound < EXACT_DOUBLE:
         scores = (query.astype(np.float64) @ cand.astype(np.float64).T).astype(np.int64)
-    else:
+    elif bound < EXACT_LONG:
         scores = query @ cand.T
+    else:
+        wide = query.astype(object) @ cand.astype(object).T  # whole numbers of any size
+        if np.abs(wide).max(initial=0) >= LARGEST:
+            raise ValueError("a score is too large for 64-bit integers")
+        scores = wide.astype(np.int64)
     return scores, qids, ids
 
 
@@ -117,7 +126,7 @@ def top_k(
     asked = cut(asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")))
     reach = rows.agg(F.max("norm")).first()[0] or 0
     # scores of a query lie in [lo, hi), cut into BINS bins of a width; need: how many of the best in it are still wanted
-    limit = F.col("norm").cast("double") * float(reach) + 1
+    limit = F.least(F.col("norm").cast("double") * float(reach) + 1, F.lit(float(LARGEST)))
     state = asked.select(
         "id",
         (-F.ceil(limit)).cast("long").alias("lo"),

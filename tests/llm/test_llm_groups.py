@@ -231,3 +231,27 @@ def test_skeleton_names_shared_beginnings_once():
 
 def test_trie_of_no_conversation(spark):
     assert chat_trie.prefix_trie(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# Exact top-k search with large components
+
+
+def test_large_components_take_part(spark):
+    from fluoroframe.llm import topk
+
+    rng = random.Random(9)
+    vectors = {i: [rng.uniform(-1, 1) for _ in range(3)] for i in range(40)}
+    vectors[7], vectors[8], vectors[9] = [1e8, 0.5, 0.0], [-3e10, 1.0, 1.0], [2.0**44, 0.0, -1.0]
+    table = spark.createDataFrame([(i, v, 1) for i, v in vectors.items()] + [(90, [float("inf"), 0.0, 0.0], 1), (91, [1.0, None, 0.0], 1)], "vec_id long, embedding array<double>, score int")
+    import math as m
+
+    whole = {i: [m.floor(256 * x) for x in v] for i, v in vectors.items()}
+    small = [i for i in whole if i not in (7, 8, 9)]
+    got = {}
+    for r in topk.top_k(table, table.where(table.vec_id.isin(small)), 4).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in small:
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q))[:4]
+        assert got[q] == [(i, -s) for s, i in scores]
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(table, table.where("vec_id = 9"), 4).collect()
