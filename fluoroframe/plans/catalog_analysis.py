@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluoroframe.operators import drift, measure, morphology, statistics, threshold, traces
+from fluoroframe.operators import drift, measure, morphology, outliers, statistics, threshold, traces
 from fluoroframe.plans import views
 from fluoroframe.plans.catalog import FILM, PLATE, STATIC, _static, _with, rounded
 from fluoroframe.sources.tiles import label_tiles, tiles_from_voxels, voxels_from_tiles
@@ -277,3 +277,29 @@ SELECT image_id, label + 16777215 AS label, count(*) AS area, round(avg(y), 6) A
   round(avg(v), 6) AS mean_intensity_g, round(max(v), 6) AS max_intensity_g, round(min(v), 6) AS min_intensity_g,
   CAST(count(*) AS DOUBLE) AS area_px FROM plate GROUP BY image_id, label"""),
 )
+
+# ---------------------------------------------------------------- batch and frame quality
+
+add(
+    "count_outliers",
+    lambda s, d: rounded(outliers.count_outliers(views.table(s, d, "orders").groupBy(F.col("o_custkey").alias("run"), F.col("o_orderstatus").alias("batch")).agg(F.count("*").alias("n_objects")), by=["batch"])),
+    """
+WITH r AS (SELECT o_custkey AS run, o_orderstatus AS batch, count(*) AS n_objects FROM orders GROUP BY ALL),
+m AS (SELECT batch, median(n_objects) AS batch_median FROM r GROUP BY batch),
+d AS (SELECT r.*, batch_median, abs(n_objects - batch_median) AS dev FROM r JOIN m USING (batch)),
+a AS (SELECT batch, median(dev) AS batch_mad FROM d GROUP BY batch)
+SELECT run, batch, n_objects, CAST(batch_median AS DOUBLE) AS batch_median, CAST(batch_mad AS DOUBLE) AS batch_mad,
+  round(CASE WHEN batch_mad > 0 THEN 0.6745 * (n_objects - batch_median) / batch_mad END, 6) AS robust_score,
+  CASE WHEN CASE WHEN batch_mad > 0 THEN abs(0.6745 * (n_objects - batch_median) / batch_mad) > 3.5 ELSE dev > 0 END
+    THEN CASE WHEN n_objects < batch_median THEN 'too few' ELSE 'too many' END ELSE 'ok' END AS count_verdict
+FROM d JOIN a USING (batch)""",
+)
+add(
+    "frame_jumps",
+    lambda s, d: rounded(outliers.frame_jumps(_static(s, d), limit=2.0).select("image_id", "label", "time_index", "mean_intensity", "step", "typical_step", "is_jump")),
+    _with(PLATE, FILM, STATIC, tail=""",
+st AS (SELECT image_id, label, time_index, mean_intensity, mean_intensity - lag(mean_intensity) OVER (PARTITION BY label ORDER BY time_index) AS step FROM tc),
+ty AS (SELECT label, median(abs(step)) AS typical FROM st GROUP BY label)
+SELECT image_id, st.label, time_index, round(mean_intensity, 6) AS mean_intensity, round(step, 6) AS step, round(typical, 6) AS typical_step, coalesce(abs(step) > 2 * typical, false) AS is_jump
+FROM st JOIN ty ON ty.label = st.label"""),
+)

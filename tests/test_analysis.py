@@ -206,3 +206,35 @@ def test_smoothing_does_not_see_the_chunks(spark, monkeypatch, method, chunk):
             weights = [1.0 if method == "rolling_mean" else math.exp(-i * i / (2 * 1.3**2)) for i, _ in near]
             want = sum(w * v for w, (_, v) in zip(weights, near)) / sum(weights)
         assert r.mean_intensity_smooth == pytest.approx(want, abs=1e-9)
+
+
+def test_counts_far_from_their_batch(spark):
+    from fluoroframe.operators import outliers
+
+    rows = [("a", i, n) for i, n in enumerate([10, 11, 9, 12, 10, 60, 1, None])] + [(None, i, n) for i, n in enumerate([5, 5, 5, 6])] + [("c", 0, 3)]
+    table = spark.createDataFrame(rows, "batch string, run int, n_objects int")
+    got = {(r.batch, r.run): r for r in outliers.count_outliers(table, by=["batch"]).collect()}
+    assert len(got) == len(rows)
+    assert [got["a", i].count_verdict for i in range(8)] == ["ok", "ok", "ok", "ok", "ok", "too many", "too few", "missing"]
+    assert got["a", 5].robust_score == pytest.approx(0.6745 * 50) and got["a", 5].batch_mad == 1
+    assert got[None, 3].count_verdict == "too many" and got[None, 3].robust_score is None and got["c", 0].count_verdict == "ok"
+    assert outliers.count_outliers(table.drop("batch")).where("batch_median = 7.5").count() == len(rows)
+    assert outliers.count_outliers(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [4096, 3, 1])
+def test_jumps_are_carried_over_chunks(spark, monkeypatch, chunk):
+    from fluoroframe.operators import outliers
+
+    monkeypatch.setattr(outliers, "CHUNK", chunk)
+    table, rows = course(spark)
+    got = outliers.frame_jumps(table, limit=3.0).collect()
+    assert len(got) == len(rows)
+    mine = lambda label: sorted((x[3], x[5]) for x in rows if x[2] == label and x[5] is not None and not math.isnan(x[5]))
+    for label in (0, 1, 2, 3, 9, 10, 11):
+        points = mine(label)
+        steps = [b[1] - a[1] for a, b in zip(points, points[1:])]
+        typical = float(np.median(np.abs(steps))) if steps else None
+        have = sorted((r.time_index, r.mean_intensity, r.step, r.is_jump) for r in got if r.label == label and r.step is not None)
+        assert [h[2] for h in have] == pytest.approx(steps)
+        assert [h[3] for h in have] == [abs(s) > 3 * typical for s in steps]
