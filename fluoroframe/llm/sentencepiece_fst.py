@@ -30,8 +30,9 @@ SPACE = "▁"
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Most chunks of text whose ids a worker remembers.
-CACHE_CHUNKS = 600_000
+#: Most chunks of text whose ids a worker remembers, and most pairs of the acceptor; results do not depend on them.
+CACHE_CHUNKS = 300_000
+CACHE_PAIRS = 400_000
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -91,7 +92,7 @@ class Transducer:
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # neighbours that a piece joins
         # text may be cut before a space sign only if no piece goes on over one
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, bool] = {}  # by both pieces, a zero character between them
         self.known: dict[str, bytes] = {}
         self.most = cache_chunks
 
@@ -124,10 +125,10 @@ class Transducer:
         return parts
 
     def _fits(self, left: str, right: str) -> bool:
-        key = (left, right)
+        key = f"{left}\0{right}"
         good = self.pairs.get(key)
         if good is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             good = self.pairs[key] = self._merged(left + right) == ([left, right] if left else [right])
         return good
@@ -145,7 +146,7 @@ class Transducer:
                     piece = text[start:end]
                     if piece in ids or start == end - 1:
                         before = last[start]
-                        good = fits((before, piece))
+                        good = fits(f"{before}\0{piece}")
                         if good is None:
                             good = self._fits(before, piece)
                         if good:

@@ -176,12 +176,12 @@ def near_duplicates(
 def _sketched(text: Column, shingle: int, seed: int = 42) -> Column:
     """``f`` (fingerprint), ``key`` (of the word sequence) and ``bands`` of each text."""
 
-    @F.pandas_udf("f long, key string, bands array<long>")
+    @F.pandas_udf("f long, key binary, bands array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             hashes = [_hashes(t, shingle, seed) for t in texts]
             prints = np.fromiter(map(_majority, hashes), dtype=np.uint64, count=len(hashes)).view(np.int64)
-            keys = [xxhash.xxh3_128_hexdigest(b" ".join(_words(t))) for t in texts]
+            keys = [xxhash.xxh3_128_digest(b" ".join(_words(t))) for t in texts]
             yield pd.DataFrame({"f": prints, "key": keys, "bands": [bands(np.unique(h)) for h in hashes]})
 
     return sketch(filled(text))
@@ -209,9 +209,9 @@ def _shingles(text: Column, shingle: int, seed: int = 42) -> Column:
     return distinct(text)
 
 
-def _shared_bands(texts: DataFrame, *columns: str) -> DataFrame:
-    """A row of ``texts`` and ``mates`` (texts of the band) for each of its bands that holds several components."""
-    spread = texts.select("key", "component", *columns, F.posexplode("bands").alias("band", "slot"))
+def _shared_bands(texts: DataFrame) -> DataFrame:
+    """``key, component`` and ``mates`` (texts of the band) of a text for each of its bands that holds several components."""
+    spread = texts.select("key", "component", F.posexplode("bands").alias("band", "slot"))
     several = spread.groupBy("band", "slot").agg(F.count("*").alias("mates"), F.min("component").alias("low"), F.max("component").alias("high"))
     return spread.join(several.where("low <> high").drop("low", "high"), ["band", "slot"])
 
@@ -275,10 +275,10 @@ def _merged(placed: DataFrame, marked: DataFrame, texts_of: DataFrame, shingle:
     ``texts_of`` place and text."""
     texts = marked.groupBy("key").agg(F.first("f").alias("fingerprint"), F.first("bands").alias("bands"), F.min("place").alias("place"))
     texts = cut(texts.join(placed.select("fingerprint", "component"), "fingerprint").select("key", "component", "bands", "place"))
-    wanted = cut(_shared_bands(texts, "place").select("key", "place").distinct())
-    bodies = cut(texts_of.join(wanted, "place").dropDuplicates(["key"]).select("key", "text"))
     # only texts of shared bands can be joined; merging shares no further ones
-    texts = cut(texts.join(wanted.select("key"), "key", "left_semi").select("key", "component", "bands"), texts, wanted)
+    texts = cut(texts.join(_shared_bands(texts).select("key").distinct(), "key", "left_semi"), texts)
+    bodies = cut(texts_of.join(texts.select("key", "place"), "place").dropDuplicates(["key"]).select("key", "text"))
+    texts = cut(texts.select("key", "component", "bands"), texts)
     for turn in range(TURNS + 1):
         if turn < TURNS:
             found = _close(texts, bodies, shingle, least, turn)
