@@ -20,22 +20,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from fluoroframe.llm.common import filled
 
-# Fixed values of the HTML standard: elements without text of their own, without an end, and those that run inside a line.
-SILENT = ("script", "style", "noscript", "template", "textarea", "select", "option", "button", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title", "xmp", "noembed", "datalist")
+# Fixed values of the HTML standard: elements of scripts, styles and form controls, those without an end, and those that run inside a line.
+SILENT = ("script", "style", "template", "textarea", "select", "option", "button", "iframe", "title", "noembed", "datalist")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr audio canvas map noscript object output picture svg video math mfrac mi mn mo mrow ms msqrt mspace msub msubsup msup mtext semantics annotation".split())
 # A start tag of the second kind ends an open element of the first.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<silent>" + "|".join(SILENT) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=silent)\s*>|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<open_end>/?)(?P<open_tag>[a-zA-Z][^\s/>]*)(?P<open_attrs>[^>]*)(?:>|\Z)",  # a quote that nothing closes
     re.S | re.I,
 )
-_LOOSE_ATTRS = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden(?:[\s=/]|\Z)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAMING = frozenset(("class", "id", "role", "itemprop", "aria-label"))
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -43,23 +44,57 @@ _SPACE = re.compile(r"\s+")
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]  # of all ancestors
+    parent: str  # tag of the innermost one, "" if none
     names: frozenset[str]
     linked: int  # characters inside links
 
 
+@dataclass
+class _Open:
+    """An open element; tags, names and hiding include those of its ancestors."""
+
+    tag: str
+    tags: frozenset[str]
+    names: frozenset[str]
+    hidden: bool
+
+
+def _described(attrs: str) -> tuple[set[str], bool]:
+    """Words of the names of an element, and whether its attributes hide it."""
+    words: set[str] = set()
+    hidden = False
+    for name, *values in _ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), "".join(values)
+        if name in _NAMING:
+            words.update(w.lower() for w in _WORDS.findall(value))
+        elif name == "hidden":
+            hidden = True
+        elif name == "aria-hidden":
+            hidden |= value.strip().lower() == "true"
+        elif name == "style":
+            hidden |= bool(_NOT_SHOWN.search(value))
+    return words, hidden
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """Runs of visible text between block-level tags, in page order, with their ancestors."""
+    """Runs of visible text between block-level tags, in page order, with their ancestors.
+
+    Of an element's attributes only ``hidden``, ``aria-hidden="true"`` and a style of ``display: none`` hide its text.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset, bool]] = []  # tag, words of its names, hidden
+    top = _Open("", frozenset(), frozenset(), False)
+    stack = [top]
+    count: dict[str, int] = {}  # open elements by tag
     words: list[str] = []
     state = {"link": 0, "linked": 0}
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(words))).strip()
         words.clear()
-        if text and not any(h for *_, h in stack):
-            blocks.append(Block(text, tuple(t for t, *_ in stack), frozenset().union(*(n for _, n, _ in stack)), state["linked"]))
+        here = stack[-1]
+        if text and not here.hidden:
+            blocks.append(Block(text, here.tags, here.tag, here.names, state["linked"]))
         state["linked"] = 0
 
     def say(raw: str) -> None:
@@ -68,39 +103,47 @@ def leaf_blocks(page: str) -> list[Block]:
             if state["link"]:
                 state["linked"] += len(raw.strip())
 
+    def close(upto: int) -> None:
+        for gone in stack[upto:]:
+            count[gone.tag] -= 1
+        del stack[upto:]
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
         say(page[at : m.start()])
         at = m.end()
-        tag = (m["tag"] or "").lower()
+        tag = (m["tag"] or m["open_tag"] or "").lower()
         if not tag:
             if m["silent"]:
                 words.append(" ")
             continue
+        end, attrs = m["end"] or m["open_end"], m["attrs"] or m["open_attrs"] or ""
         if tag in INLINE:
             if tag == "a":
-                state["link"] = 0 if m["end"] else 1
+                state["link"] = 0 if end else 1
             if tag == "br":
                 words.append(" ")
             continue
         flush()
         state["link"] = 0
-        if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if end:
+            if count.get(tag):
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
-        if tag in CLOSES_P and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li" or tag in ("td", "th", "tr") and stack and stack[-1][0] in ("td", "th"):
-            stack.pop()
-        elif tag in CLOSES_P and len(stack) > 1 and stack[-2][0] == "p":
-            del stack[-2:]
-        if tag not in VOID and not m["attrs"].endswith("/"):
-            attrs = m["attrs"]
-            found = frozenset(w.lower() for a in _NAMES.findall(attrs) for part in a if part for w in _WORDS.findall(part)) if attrs else frozenset()
-            stack.append((tag, found, bool(attrs and _HIDDEN.search(attrs))))
+        last = stack[-1].tag
+        if tag in CLOSES_P and last == "p" or tag == "li" and last == "li" or tag in ("td", "th", "tr") and last in ("td", "th"):
+            close(len(stack) - 1)
+        elif tag in CLOSES_P and len(stack) > 2 and stack[-2].tag == "p":
+            close(len(stack) - 2)
+        if tag not in VOID and not attrs.endswith("/"):
+            above = stack[-1]
+            found, hidden = _described(attrs) if attrs else ((), False)
+            tags = above.tags if tag in above.tags else above.tags | {tag}
+            names = above.names if above.names.issuperset(found) else above.names.union(found)
+            stack.append(_Open(tag, tags, names, above.hidden or hidden))
+            count[tag] = count.get(tag, 0) + 1
     rest = page[at:]
     open_tag = rest.rfind("<")
     if open_tag >= 0 and re.match(r"</?[a-zA-Z!]", rest[open_tag:]) and ">" not in rest[open_tag:]:
@@ -115,8 +158,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
     out = []
     for i, b in enumerate(blocks):
         n = len(b.text)
-        marks = [f"in:{t}" for t in set(b.tags)] + [f"name:{w}" for w in b.names if w in NAME_WORDS]
-        marks.append(f"tag:{b.tags[-1] if b.tags else ''}")
+        marks = [f"in:{t}" for t in b.tags] + [f"name:{w}" for w in b.names if w in NAME_WORDS]
+        marks.append(f"tag:{b.parent}")
         marks.append(f"long:{min(5, n.bit_length() // 2)}")
         marks.append(f"link:{min(3, 4 * b.linked // max(1, n))}")
         marks.append("stop" if b.text[-1] in ".!?:;\"”" else "nostop")

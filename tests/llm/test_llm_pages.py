@@ -1,6 +1,7 @@
 """Page text against known layouts, the chain field against all paths, and the pipeline stage by stage."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -79,3 +80,24 @@ def test_pipeline_stages(spark):
                 assert np.bitwise_count(values[:i] ^ v).min(initial=64) > 2
         docs = out
     assert all(a >= b for a, b in zip([1000, *kept], kept)) and kept[-1] == kept[-2] and docs.where("not same").count() == 0
+
+
+def test_only_attributes_that_hide_do():
+    texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
+    for attrs in ('aria-hidden="false"', 'class="hidden md:block"', 'data-hidden="1"', "title='display: none'", 'style="x-display:none-ish"'):
+        assert texts(f"<article {attrs}><p>kept</p></article>") == ["kept"], attrs
+    for attrs in ("hidden", 'hidden=""', "HIDDEN id=a", 'aria-hidden="true"', "style='color: red; display : none'"):
+        assert texts(f"<div {attrs}><p>gone</p></div><p>kept</p>") == ["kept"], attrs
+
+
+def test_no_other_element_loses_its_text():
+    page = "<article><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><noscript>c</noscript><video>d</video><xmp>e</xmp></article>"
+    assert [b.text for b in html_text.leaf_blocks(page)] == ["a x=2 b", "cd", "e"]
+    assert [b.text for b in html_text.leaf_blocks('<p title="abc>text</p><p>more</p>')] == ["text", "more"]
+
+
+def test_deep_and_long_pages_take_linear_time():
+    start = time.perf_counter()
+    blocks = html_text.leaf_blocks("<div class='a'>x" * 20_000 + "</section>" * 20_000)
+    assert len(blocks) == 20_000 and blocks[-1].parent == "div" and time.perf_counter() - start < 5
+    assert len(html_text.leaf_blocks("<p>" + "word " * 300_000)[0].text) == 1_499_999
