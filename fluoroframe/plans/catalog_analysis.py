@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluoroframe.operators import drift, measure, morphology, outliers, statistics, threshold, traces
+from fluoroframe.operators import drift, measure, morphology, outliers, paths, statistics, threshold, traces
 from fluoroframe.plans import views
-from fluoroframe.plans.catalog import FILM, PLATE, STATIC, _static, _with, rounded
+from fluoroframe.plans.catalog import FILM, GRAPH, MASK, PLATE, STATIC, _plain_nodes, _static, _with, rounded
 from fluoroframe.sources.tiles import label_tiles, tiles_from_voxels, voxels_from_tiles
 
 QUERIES: dict = {}
@@ -303,3 +303,91 @@ ty AS (SELECT label, median(abs(step)) AS typical FROM st GROUP BY label)
 SELECT image_id, st.label, time_index, round(mean_intensity, 6) AS mean_intensity, round(step, 6) AS step, round(typical, 6) AS typical_step, coalesce(abs(step) > 2 * typical, false) AS is_jump
 FROM st JOIN ty ON ty.label = st.label"""),
 )
+
+# ---------------------------------------------------------------- along skeletons
+
+# distances from the first node of every component; each step of the recursion looks one edge further
+WALK = """starts AS (SELECT min(pid) AS pid FROM node GROUP BY component_id),
+leg AS (SELECT src AS a, dst AS b, sqrt(CAST(dy * dy + dx * dx AS DOUBLE)) AS len FROM step UNION ALL SELECT dst, src, sqrt(CAST(dy * dy + dx * dx AS DOUBLE)) FROM step),
+most AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM node GROUP BY component_id)),
+walk AS (SELECT 0 AS i, pid, CAST(0 AS DOUBLE) AS d FROM starts
+  UNION ALL SELECT i + 1, pid, min(d) FROM (SELECT i, pid, d FROM walk UNION ALL SELECT i, b, d + len FROM walk JOIN leg ON a = pid) WHERE i < (SELECT n FROM most) GROUP BY i, pid),
+far AS (SELECT pid, d FROM walk WHERE i = (SELECT n FROM most))"""
+FOREST = """up AS (SELECT f.pid, arg_min(u.pid, u.node_id) AS parent FROM far f JOIN leg ON b = f.pid JOIN far g ON g.pid = a AND g.d < f.d AND g.d + len = f.d JOIN node u ON u.pid = a GROUP BY f.pid),
+tree AS (SELECT pid, parent FROM far LEFT JOIN up USING (pid)),
+deep AS (SELECT pid, 0 AS depth FROM tree WHERE parent IS NULL UNION ALL SELECT t.pid, depth + 1 FROM tree t JOIN deep p ON t.parent = p.pid),
+ranked AS (SELECT (SELECT max(depth) + 1 FROM deep) AS i, pid, parent, depth, CAST(NULL AS INTEGER) AS o FROM tree JOIN deep USING (pid)
+  UNION ALL SELECT s.i - 1, s.pid, s.parent, s.depth, CASE WHEN s.depth < s.i - 1 THEN NULL WHEN s.depth > s.i - 1 THEN s.o WHEN k.m IS NULL THEN 1 ELSE k.m + (k.n > 1)::INT END
+  FROM ranked s LEFT JOIN (SELECT parent, max(o) AS m, count(*) FILTER (o = top) AS n FROM (SELECT parent, o, max(o) OVER (PARTITION BY parent) AS top FROM ranked WHERE depth = i) GROUP BY parent) k ON k.parent = s.pid
+  WHERE s.i > 0),
+ordered AS (SELECT pid, parent, o FROM ranked WHERE i = 0)"""
+
+
+def _far(s, d):
+    n, e = _plain_nodes(s, d)
+    starts = n.groupBy("trace_id", "component_id").agg(F.min("pid").alias("pid")).select("trace_id", "pid")
+    return n, e, paths.path_distances(n, e, starts)
+
+
+def _orders(s, d):
+    _, e, far = _far(s, d)
+    tree = paths.path_parents(far, e)
+    return paths.strahler_order(tree), tree, far
+
+
+def _node_orders(s, d):
+    orders, _, far = _orders(s, d)
+    return orders.join(far, ["trace_id", "pid"]).select("trace_id", "node_id", "strahler")
+
+
+def _sampled(s, d):
+    n, e, far = _far(s, d)
+    return paths.sample_nodes(n, tiles_from_voxels(views.vox(s, d), 32, 32)), far, n
+
+
+add(
+    "path_distances",
+    lambda s, d: rounded(_far(s, d)[2].drop("pid")),
+    _with(PLATE, MASK, GRAPH, WALK, tail="SELECT 'plate' AS trace_id, node_id, round(d, 6) AS path_distance FROM node LEFT JOIN far USING (pid)", recursive=True),
+)
+add(
+    "branch_orders",
+    _node_orders,
+    _with(PLATE, MASK, GRAPH, WALK, FOREST, tail="SELECT 'plate' AS trace_id, node_id, o AS strahler FROM ordered JOIN node USING (pid)", recursive=True),
+)
+add(
+    "branch_order_summary",
+    lambda s, d: paths.order_summary(*_orders(s, d)[:2]),
+    _with(PLATE, MASK, GRAPH, WALK, FOREST, tail="""
+, kids AS (SELECT parent AS pid, count(*) AS n FROM tree WHERE parent IS NOT NULL GROUP BY parent)
+SELECT 'plate' AS trace_id, max(o) AS max_strahler, count(*) AS n_nodes, count(*) FILTER (n IS NULL) AS n_tips, count(*) FILTER (n > 1) AS n_forks
+FROM ordered LEFT JOIN kids USING (pid)""", recursive=True),
+)
+_INTENSITY = "count(*) AS n_nodes, round(avg(CAST(v AS FLOAT)), 6) AS mean_intensity, round(min(CAST(v AS FLOAT))::DOUBLE, 6) AS min_intensity, round(max(CAST(v AS FLOAT))::DOUBLE, 6) AS max_intensity, round(stddev_pop(CAST(v AS FLOAT)), 6) AS std_intensity"
+
+
+def _profile(s, d):
+    at, far, _ = _sampled(s, d)
+    return rounded(paths.distance_profile(at, far, 2.0))
+
+
+def _per_component(s, d):
+    n, _ = _plain_nodes(s, d)
+    at = paths.sample_nodes(n, tiles_from_voxels(views.vox(s, d), 32, 32))
+    return rounded(paths.branch_intensity(at, n.select("trace_id", "pid", F.col("component_id").alias("branch_id"))))
+
+
+add(
+    "distance_profile",
+    _profile,
+    _with(PLATE, MASK, GRAPH, WALK, tail=f"""
+SELECT 'plate' AS trace_id, 'g' AS channel, 0 AS t, CAST(floor(d / 2) AS BIGINT) AS bin, {_INTENSITY}, floor(d / 2) * 2 AS distance_from
+FROM node JOIN plate p ON p.y = node.y AND p.x = node.x LEFT JOIN far ON far.pid = node.pid GROUP BY floor(d / 2)""", recursive=True),
+)
+add(
+    "process_intensity",
+    _per_component,
+    _with(PLATE, MASK, GRAPH, tail=f"""
+SELECT 'plate' AS trace_id, component_id AS branch_id, 'g' AS channel, 0 AS t, {_INTENSITY}
+FROM node JOIN plate p ON p.y = node.y AND p.x = node.x GROUP BY component_id""", recursive=True),
+)
