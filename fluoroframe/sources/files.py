@@ -85,15 +85,24 @@ def registration_counts(files: DataFrame) -> DataFrame:
 def resolve_files(samples: DataFrame, files: DataFrame) -> DataFrame:
     """Match sample files by path, then by id.
 
-    samples: sample_name, files ARRAY<STRING>, file_ids ARRAY<STRING>.  Unmatched paths
+    samples: sample_name, files ARRAY<STRING>, file_ids ARRAY<STRING> [, records
+    ARRAY<STRING>].  A path stays one path and gets one id at most, however many records
+    share it: the id at its place in ``records`` if that record has the path, else the
+    record of the latest ``arrival`` (largest id without that column).  Unmatched paths
     stay without an id; paths of given ids are added.
     """
     none = F.array().cast("array<string>")
     base = samples.withColumn("files", F.coalesce("files", none)).withColumn("file_ids", F.coalesce("file_ids", none))
     known = files.select("path", "file_id")
+    last = files.groupBy("path").agg(F.max_by("file_id", "arrival" if "arrival" in files.columns else "file_id").alias("_last"))
+    meant = F.get("records", F.col("pos")) if "records" in samples.columns else F.lit(None).cast("string")
+    named = known.select("path", F.col("file_id").alias("_meant"), F.lit(True).alias("_named")).distinct()
     by_path = (
-        base.select("sample_name", F.posexplode("files").alias("pos", "path"))
-        .join(known, "path", "left")
+        base.select("*", F.posexplode("files").alias("pos", "path"))
+        .select("sample_name", "pos", "path", meant.alias("_meant"))
+        .join(named, ["path", "_meant"], "left")
+        .join(last, "path", "left")
+        .withColumn("file_id", F.when(F.col("_named"), F.col("_meant")).otherwise(F.col("_last")))
         .groupBy("sample_name")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "path", "file_id"))).alias("m"))
     )
@@ -112,7 +121,7 @@ def resolve_files(samples: DataFrame, files: DataFrame) -> DataFrame:
             "file_ids": F.concat("file_ids", F.filter(F.array_distinct(ids), lambda i: ~F.array_contains(F.col("file_ids"), i))),
             "files": F.concat(paths, F.array_distinct(extra)),
         }
-    ).drop("m", "r")
+    ).drop("m", "r", "records")
 
 
 def manifest(files: DataFrame, listed: DataFrame, root: str) -> DataFrame:
