@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fluoroframe.functions.text import canonical_color, canonical_role, channel_index, normalise_text
-from fluoroframe.plans.skew import salted_join
+from fluoroframe.functions.text import COLOR_ALIASES, canonical_color, canonical_role, channel_index, normalise_text
+from fluoroframe.plans.cut import cut
+
+# Characters at the start of a word by which texts are searched for it.
+HEAD = 3
 
 _INFO = ("name", "channel_name", "marker", "color", "excitation_wavelength_nm", "emission_wavelength_nm")
 
@@ -77,12 +80,48 @@ def _keys(df: DataFrame, layer: str, words: list[Column], color: Column, rank: i
     return rows.withColumn("rank", F.lit(rank))
 
 
+def _noted(channels: DataFrame) -> DataFrame:
+    words = [F.col(c) for c in ("layer_name", "color", "marker", "role", "biological_target") if c in channels.columns]
+    return _keys(channels, "layer_name", words, F.col("color"), 2)
+
+
+def _hued(meta: DataFrame) -> DataFrame:
+    return meta.where("layer_color IS NOT NULL").select("image_id", F.col("name").alias("layer"), F.col("layer_color").alias("hue")).distinct()
+
+
+def _containing(meta: DataFrame, words: DataFrame) -> DataFrame:
+    """(image_id, word, layer) of the words that a layer's text contains.
+
+    A text is cut into the pieces that begin like a word of its image (by ``HEAD``
+    characters) and are as long as that word; pieces then equal whole words.  Rows grow
+    with the characters of the texts, never with texts times words.
+    """
+    words = cut(words.distinct())
+    size = F.length("word")
+    heads = cut(words.select("image_id", F.least(size, F.lit(HEAD)).alias("q"), F.substring("word", 1, HEAD).alias("head"), size.alias("n")).distinct())
+    texts = meta.select("image_id", F.col("name").alias("layer"), normalise_text(F.col("layer_text")).alias("text"))
+    # few bytes and much work: a given number of partitions is not merged into one task
+    texts = texts.repartition(int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "image_id", "layer", "text").distinct()
+    pieces = None
+    for (q,) in sorted(heads.select("q").distinct().collect()):  # HEAD rows at most
+        spots = texts.where(F.length("text") >= q).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text") - (q - 1))))
+        spots = spots.withColumn("head", F.col("text").substr(F.col("at"), F.lit(q)))
+        cuts = spots.join(heads.where(F.col("q") == q).drop("q"), ["image_id", "head"]).where("at + n - 1 <= length(text)")
+        cuts = cuts.select("image_id", "layer", F.col("text").substr(F.col("at"), F.col("n")).alias("word"))
+        pieces = cuts if pieces is None else pieces.unionByName(cuts)
+    if pieces is None:
+        return words.join(texts.select("image_id", "layer").limit(0), "image_id").select("image_id", "word", "layer")
+    return pieces.join(words, ["image_id", "word"]).select("image_id", "word", "layer").distinct()
+
+
 def candidates(layers: DataFrame, channels: DataFrame, requests: DataFrame) -> DataFrame:
     """Layers that answer a request at its best rank: request_id, layer, rank (M6).
 
     Ranks: 1 exact name, 2 annotation word or colour, 3 colour found in the metadata,
     4 metadata text contains the query.  Ranks 1-3 are equi-joins on words; the text
-    search only runs for requests that none of them answered.
+    search only runs for requests that none of them answered.  One row per match: a
+    colour asked for by many requests and worn by many layers is their product, which
+    ``resolve_channel`` counts without making it.
     """
     meta = layer_metadata(layers)
     req = requests.select(
@@ -90,40 +129,71 @@ def candidates(layers: DataFrame, channels: DataFrame, requests: DataFrame) -> D
     )
     own = layers.select("image_id", F.col("name").alias("query"), F.col("name").alias("layer")).distinct()
     exact = req.join(own, ["image_id", "query"]).select("request_id", "layer", F.lit(1).alias("rank"))
-    words = [F.col(c) for c in ("layer_name", "color", "marker", "role", "biological_target") if c in channels.columns]
-    noted = _keys(channels, "layer_name", words, F.col("color"), 2)
-    hued = meta.where("layer_color IS NOT NULL").select(
-        "image_id", F.col("name").alias("layer"), F.lit("c").alias("kind"), F.col("layer_color").alias("key"), F.lit(3).alias("rank")
-    ).distinct()
+    hued = _hued(meta).select("image_id", "layer", F.lit("c").alias("kind"), F.col("hue").alias("key"), F.lit(3).alias("rank"))
     asked = req.select(
         "request_id", "image_id",
         F.explode(F.array(F.struct(F.lit("w").alias("kind"), F.col("word").alias("key")), F.struct(F.lit("c").alias("kind"), F.col("hue").alias("key")))).alias("a"),
     ).select("request_id", "image_id", "a.kind", "a.key").where("key IS NOT NULL")
-    by_word = asked.join(noted.unionByName(hued), ["image_id", "kind", "key"]).select("request_id", "layer", "rank")
+    by_word = asked.join(_noted(channels).unionByName(hued), ["image_id", "kind", "key"]).select("request_id", "layer", "rank")
     found = exact.unionByName(by_word)
     best = found.groupBy("request_id").agg(F.min("rank").alias("rank"))
     first = found.join(best, ["request_id", "rank"]).distinct()
     open_ = req.join(best.select("request_id"), "request_id", "left_anti").where("word != ''")
-    texts = meta.select("image_id", F.col("name").alias("layer"), normalise_text(F.col("layer_text")).alias("text"))
-    # distinct words meet distinct texts, spread by layer; no whole image in one task
-    words_ = open_.select("image_id", "word").distinct()
-    loose = salted_join(texts.distinct(), words_, ["image_id"], ["layer", "text"]).where(F.contains("text", "word"))
-    loose = open_.join(loose.select("image_id", "word", "layer"), ["image_id", "word"])
+    loose = open_.join(_containing(meta, open_.select("image_id", "word")), ["image_id", "word"])
     return first.select("request_id", "layer", "rank").unionByName(
         loose.select("request_id", "layer", F.lit(4).alias("rank")).distinct()
     )
 
 
+def _answers(layers: DataFrame, channels: DataFrame, requests: DataFrame) -> DataFrame:
+    """image_id, query -> n_matches, _layer, rank, for every distinct query.
+
+    Matches are counted per word and per colour before they meet a query.  The layers
+    that answer by word, by colour or both are the two counts less the common one.
+    """
+    meta = layer_metadata(layers)
+    asked = requests.select("image_id", "query").distinct()
+    asked = asked.withColumns({"word": normalise_text(F.col("query")), "hue": canonical_color(F.col("query"))})
+    own = layers.select("image_id", F.col("name").alias("query"), F.lit(True).alias("_own")).distinct()
+    noted = _noted(channels)
+    words = noted.where("kind = 'w'").select("image_id", "layer", F.col("key").alias("word"))
+    hues = noted.where("kind = 'c'").where(F.col("key").isin(*set(COLOR_ALIASES.values()))).select("image_id", "layer", F.col("key").alias("hue"))
+
+    def count(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.count("layer").alias(f"n_{name}"), F.min("layer").alias(f"l_{name}"))
+
+    known = asked.join(own, ["image_id", "query"], "left")
+    known = known.join(count(words, ["image_id", "word"], "word"), ["image_id", "word"], "left")
+    known = known.join(count(hues, ["image_id", "hue"], "hue"), ["image_id", "hue"], "left")
+    known = known.join(count(words.join(hues, ["image_id", "layer"]), ["image_id", "word", "hue"], "both"), ["image_id", "word", "hue"], "left")
+    known = cut(known.join(count(_hued(meta), ["image_id", "hue"], "meta"), ["image_id", "hue"], "left"))
+    noted_ = F.col("n_word").isNotNull() | F.col("n_hue").isNotNull()
+    rank = F.when(F.col("_own"), 1).when(noted_, 2).when(F.col("n_meta").isNotNull(), 3)
+    loose = _containing(meta, known.where(rank.isNull() & (F.col("word") != "")).select("image_id", "word"))
+    known = known.withColumn("rank", rank)
+    known = known.join(count(loose, ["image_id", "word"], "text"), ["image_id", "word"], "left")
+    n = lambda name: F.coalesce(F.col(f"n_{name}"), F.lit(0))
+    r = F.coalesce("rank", F.when(F.col("n_text").isNotNull(), 4))
+    pick = lambda own_, noted2, hue, text: F.when(r == 1, own_).when(r == 2, noted2).when(r == 3, hue).when(r == 4, text)
+    return known.select(
+        "image_id", "query",
+        pick(F.lit(1).cast("long"), n("word") + n("hue") - n("both"), n("meta"), n("text")).alias("n_matches"),
+        pick(F.col("query"), F.least("l_word", "l_hue"), F.col("l_meta"), F.col("l_text")).alias("_layer"),
+        r.alias("rank"),
+    )
+
+
 def resolve_channel(layers: DataFrame, channels: DataFrame, requests: DataFrame) -> DataFrame:
     """One row per request: the layer, how many matched, and the status (M6).
 
     One match resolves; several are ambiguous (layer null, list them with
-    ``candidates``); none returns the query itself, unresolved.
+    ``candidates``); none returns the query itself, unresolved.  A request is known by
+    its own ``request_id``.
     """
-    hits = candidates(layers, channels, requests).groupBy("request_id").agg(
-        F.count_distinct("layer").alias("n_matches"), F.min("layer").alias("_layer"), F.min("rank").alias("rank")
-    )
-    out = requests.join(hits, "request_id", "left").na.fill(0, ["n_matches"])
+    hits = _answers(layers, channels, requests.where("request_id IS NOT NULL"))
+    hits = hits.where("rank IS NOT NULL").withColumn("_id", F.lit(True))
+    out = requests.withColumn("_id", F.when(F.col("request_id").isNotNull(), True))
+    out = out.join(hits, ["image_id", "query", "_id"], "left").na.fill(0, ["n_matches"])
     n = F.col("n_matches")
     return out.select(
         "request_id", "image_id", "query",
