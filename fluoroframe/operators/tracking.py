@@ -20,8 +20,10 @@ def detections(labels: DataFrame) -> DataFrame:
     )
 
 
-# Most targets a grid cell may hold before a finer grid is searched first.
-CELL_LIMIT = 1000
+# Most target places a grid cell may hold before a finer grid is searched first, and
+# the most grids.
+CELL_LIMIT = 16
+GRIDS = 22
 
 
 def _cells(axes: str, size: float) -> list:
@@ -31,16 +33,17 @@ def _cells(axes: str, size: float) -> list:
 def _grid_sizes(dets: DataFrame, radius: float, axes: str) -> list[float]:
     """Cell sizes to search, finest first.
 
-    The fullest cell of the coarse grid is counted once.  Every further level divides
-    the cell by eight per axis and is only added while cells hold too many targets, so
-    crowded places find their neighbour on a fine grid and never meet the coarse one.
+    Every further level halves the cell per axis and is only added while cells hold too
+    many places, so crowded places find their neighbour on a fine grid, never meet the
+    coarse one, and a source meets few candidates at every density.
     """
+    places = dets.select("image_id", "t", *axes).distinct()
     sizes = [radius]
-    while len(sizes) < 8:
-        cell = dets.groupBy("image_id", "t", *_cells(axes, sizes[0])).count()
+    while len(sizes) < GRIDS:
+        cell = places.groupBy("image_id", "t", *_cells(axes, sizes[0])).count()
         if (cell.agg(F.max("count")).first()[0] or 0) <= CELL_LIMIT:
             break
-        sizes.insert(0, sizes[0] / 8)
+        sizes.insert(0, sizes[0] / 2)
     return sizes
 
 
@@ -50,10 +53,11 @@ def _nearest(src: DataFrame, dst: DataFrame, gap: int, sizes: list[float], axes:
     A target closer than one cell lies in the cells around the source, so a hit on a
     fine grid is final and only the rest moves on to the next grid.  Targets at one
     place count once (smallest label).  The minimum is taken by partial aggregation;
-    candidate pairs are never collected.  Ties: smaller distance, label, then id.
+    candidate pairs are never collected.  Ties: smaller distance, label, then id; as ids
+    follow the labels within a frame, the smallest id is that of the smallest label.
     """
     place = ["image_id", "t", *axes]
-    spots = dst.groupBy(*place).agg(F.min(F.struct("label", "id")).alias("who"))
+    spots = dst.groupBy(*place).agg(F.min("id").alias("who"))
     around = F.explode(
         F.array(
             *[
@@ -72,7 +76,9 @@ def _nearest(src: DataFrame, dst: DataFrame, gap: int, sizes: list[float], axes:
         dist = F.sqrt(sum((F.pow(F.col(f"s{a}") - F.col(a), 2) for a in axes), F.lit(0.0)))
         hit = pairs.withColumn("d", dist).where(F.col("d") <= size)
         found = hit.groupBy("image_id", "src").agg(F.min(F.struct("d", "who")).alias("m"))
-        found = found.select("image_id", "src", F.col("m.who.id").alias("dst"), "m.d")
+        found = found.select("image_id", "src", F.col("m.who").alias("dst"), "m.d")
+        if size != sizes[-1]:
+            found = cut(found)  # read by the union and by every coarser grid
         best = found if best is None else best.unionByName(found)
         if size != sizes[-1]:
             left = left.join(found.select("image_id", F.col("src").alias("id")), ["image_id", "id"], "left_anti")
