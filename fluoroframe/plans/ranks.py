@@ -13,6 +13,8 @@ from fluoroframe.plans.skew import salted_join
 # in memory) is used; larger groups are narrowed first.
 GROUP_LIMIT = 1_000_000
 _ACCURACY = 10_000
+# Groups of up to so many rows are not bracketed before their values are counted.
+WHOLE = 100_000
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
@@ -55,18 +57,57 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: Sequence[str], lim
     Without keys the result is one row.
     """
     data, ks = _keyed(df, list(keys))
-    largest = data.groupBy(*ks).count().agg(F.max("count")).first()[0] or 0
+    sizes = cut(data.groupBy(*ks).count())
+    largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest <= limit:
         clean = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double"))
         out = data.groupBy(*ks).agg(*[F.percentile(clean(c), 0.5).alias(c) for c in values])
     else:
-        out = data.select(*ks).distinct()
-        for c in values:
-            out = out.join(exact_percentiles(data, ks, c, {c: 0.5}, limit), ks, "left")
+        # all columns in the same passes: the column is one more key
+        value = lambda i, c: F.struct(F.lit(i).alias("_c"), F.col(f"`{c}`").cast("double").alias("_x"))
+        long = data.select(*ks, F.explode(F.array(*[value(i, c) for i, c in enumerate(values)])).alias("_e")).select(*ks, "_e.*")
+        long = long.select(*ks, "_c", F.col("_x").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        found = _by_narrowing(long, [*ks, "_c"], {"_m": 0.5}, limit)
+        found = found.groupBy(*ks).agg(*[F.max(F.when(F.col("_c") == i, F.col("_m"))).alias(c) for i, c in enumerate(values)])
+        out = sizes.select(*ks).join(found, ks, "left")
     return out if keys else out.drop("_all")
 
 
-def _by_narrowing(data: DataFrame, ks: list[str], probs: dict[str, float], limit: int) -> DataFrame:
+def _bracketed(data: DataFrame, ks: list[str], probs: dict[str, float]) -> tuple[DataFrame, DataFrame] | None:
+    """Counted values around each wanted rank, and the rank with the weight below them.
+
+    Two passes with partial aggregation over the data: approximate percentiles choose a
+    narrow bracket, then rows are counted as below it, as values inside it or as above.
+    Only values inside are ever shuffled or written.  None if a bracket misses its rank.
+    """
+    gk, e = [*ks, "_j"], 3 / _ACCURACY
+    ends = [x for p in probs.values() for x in (max(float(p) - e, 0.0), min(float(p) + e, 1.0))]
+    grid = data.groupBy(*ks).agg(
+        F.count("*").alias("_total"), F.percentile_approx("_v", F.array(*[F.lit(x) for x in ends]), _ACCURACY).alias("_grid")
+    )
+    end = lambda k: F.when(F.col("_total") > WHOLE, F.col("_grid")[k])  # null: the whole group is inside
+    wanted = F.array(
+        *[
+            F.struct(F.lit(j).alias("_j"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("_rank"), end(2 * j).alias("_lo"), end(2 * j + 1).alias("_hi"))
+            for j, p in enumerate(probs.values())
+        ]
+    )
+    edges = cut(grid.select(*ks, F.explode(wanted).alias("_e")).select(*ks, "_e.*"))
+    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
+    placed = salted_join(data, edges.drop("_rank"), ks, ["_v"]).withColumn("_side", side)
+    placed = placed.withColumn("_v", F.when(F.col("_side") == 0, F.col("_v")))
+    counts = cut(placed.groupBy(*gk, "_side", "_v").agg(F.count("*").alias("_n")))
+    weight = lambda s: F.coalesce(F.sum(F.when(F.col("_side") == s, F.col("_n"))), F.lit(0))
+    sums = counts.groupBy(*gk).agg(weight(-1).alias("_below"), weight(0).alias("_inside"))
+    targets = cut(edges.select(*gk, "_rank").join(sums, gk), edges)
+    missed = (F.col("_below") > F.floor("_rank")) | (F.col("_below") + F.col("_inside") <= F.ceil("_rank"))
+    if targets.where(missed).limit(1).count():
+        return None
+    return counts.where("_side = 0").select(*gk, "_v", "_n"), targets.select(*gk, "_rank", "_below")
+
+
+def _counted(data: DataFrame, ks: list[str], probs: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """The same with every value of the data."""
     wanted = F.array(
         *[
             F.struct(F.lit(i).alias("_j"), F.lit(float(p)).alias("_prob"))
@@ -82,8 +123,12 @@ def _by_narrowing(data: DataFrame, ks: list[str], probs: dict[str, float], limit
         (F.col("_w._prob") * (F.col("_total") - 1)).alias("_rank"),
         F.lit(0).cast("long").alias("_below"),
     )
-    rows = salted_join(counts, targets.select(*ks, "_j"), ks, ["_v"])
-    rows, targets, gk = cut(rows), cut(targets), [*ks, "_j"]
+    return cut(salted_join(counts, targets.select(*ks, "_j"), ks, ["_v"])), cut(targets)
+
+
+def _by_narrowing(data: DataFrame, ks: list[str], probs: dict[str, float], limit: int) -> DataFrame:
+    gk = [*ks, "_j"]
+    rows, targets = _bracketed(data, ks, probs) or _counted(data, ks, probs)
     while (rows.groupBy(*gk).count().agg(F.max("count")).first()[0] or 0) > limit:
         rows, targets = _narrow(rows, targets, gk)
     w = Window.partitionBy(*gk).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)

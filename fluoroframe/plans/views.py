@@ -92,11 +92,9 @@ def movie(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def objects(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as measured objects; supplier = sample, nation = group."""
-    li = table(spark, sf, "lineitem")
-    s = table(spark, sf, "supplier").join(
-        table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    )
-    o = li.join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    # one small table at a time: Spark takes the size of their join for the product of theirs and shuffles the line items
+    o = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    o = o.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return o.select(
         F.col("l_orderkey").alias("label"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("area"),
         F.col("l_extendedprice").alias("mean_intensity"), F.col("s_name").alias("sample_name"),
