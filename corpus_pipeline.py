@@ -15,6 +15,9 @@ from fluoroframe.llm.common import table
 from fluoroframe.llm.queries import tokenizer_file
 from fluoroframe.plans.cut import shared_folder
 
+#: Bytes of texts that go to a Python worker at a time.
+BATCH_BYTES = 4 << 20
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity below 0.3, by a lexicon learned from the labelled ones among them."""
@@ -42,12 +45,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids", F.crc32("ids").alias("ids_crc32"), "same")
 
 
+def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage in a session whose Arrow batches end at ``BATCH_BYTES``: by default a batch of 10,000 texts has any size,
+    which both the executor and its Python workers hold beside the heap."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("quality", drop_low_quality),
-    ("simhash", drop_near_duplicates),
-    ("decontamination", drop_benchmark_leaks),
-    ("sentencepiece", encode),
+    ("toxicity", bounded(drop_toxic)),
+    ("quality", bounded(drop_low_quality)),
+    ("simhash", bounded(drop_near_duplicates)),
+    ("decontamination", bounded(drop_benchmark_leaks)),
+    ("sentencepiece", bounded(encode)),
 ]
 
 # A learned lexicon, fitted quality scores and piece paths are beyond SQL; tests compare the stages with brute force.

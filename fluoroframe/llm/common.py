@@ -60,8 +60,13 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 def worker_memo(key: object, build: Callable[[], object]) -> object:
-    """One object per Python worker process, kept between the tasks that the worker runs."""
+    """One object per Python worker process, kept between the tasks that the worker runs, until ``drop_memo``."""
     store = sys.__dict__.setdefault("_fluoroframe_memo", {})
     if key not in store:
         store[key] = build()
     return store[key]
+
+
+def drop_memo() -> None:
+    """Lets go of what this worker remembers for other operators, as a worker outlives them."""
+    sys.__dict__.pop("_fluoroframe_memo", None)

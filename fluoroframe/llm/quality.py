@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fluoroframe.llm.common import filled, free_name, held_out, labelled_sample
+from fluoroframe.llm.common import drop_memo, filled, free_name, held_out, labelled_sample
 from fluoroframe.plans.cut import cut
 
 #: Most labelled rows that a model is fitted on, those with the smallest hash of the id.
@@ -156,6 +156,7 @@ def quality(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        drop_memo()
         for texts in batches:
             yield pd.Series(model.score(texts.tolist()), dtype=float)
 

@@ -29,7 +29,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fluoroframe.llm.common import filled, free_name
+from fluoroframe.llm.common import drop_memo, filled, free_name
 from fluoroframe.plans.cut import cut, forget
 from fluoroframe.plans.graph import connected
 
@@ -178,6 +178,7 @@ def _sketched(text: Column, shingle: int, seed: int = 42) -> Column:
 
     @F.pandas_udf("f long, key binary, bands array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        drop_memo()
         for texts in batches:
             hashes = [_hashes(t, shingle, seed) for t in texts]
             prints = np.fromiter(map(_majority, hashes), dtype=np.uint64, count=len(hashes)).view(np.int64)

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fluoroframe.llm.common import filled, free_name, held_out, labelled_sample
+from fluoroframe.llm.common import drop_memo, filled, free_name, held_out, labelled_sample
 
 #: Most labelled rows that a lexicon is learned from, those with the smallest hash of the id.
 FIT_ROWS = 20_000
@@ -195,6 +195,7 @@ def toxicity(text: Column, lexicon: Lexicon) -> Column:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        drop_memo()
         machine = lexicon.automaton()
         for texts in batches:
             yield pd.Series([lexicon.score(machine, t) for t in texts], dtype=float)

@@ -82,6 +82,42 @@ def test_pipeline_stages(spark):
     assert all(a >= b for a, b in zip([1000, *kept], kept)) and kept[-1] == kept[-2] and docs.where("not same").count() == 0
 
 
+def test_pipeline_workers_hold_little(spark):
+    """Batches of long texts end early, and no worker keeps what it remembered for another operator."""
+    import sys
+
+    import corpus_pipeline as pipeline
+    from pyspark.sql import functions as F
+
+    from fluoroframe.llm import toxicity
+    from fluoroframe.llm.common import worker_memo
+
+    dict(pipeline.STAGES)["toxicity"](spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "/root/testdata/sf0.001")
+    long = spark.range(400, numPartitions=1).select(F.repeat(F.lit("word "), 20_000).alias("text"))
+
+    @F.pandas_udf("long")
+    def sizes(texts):
+        return texts.map(lambda t: len(texts) * len(t))
+
+    assert long.agg(F.max(sizes("text"))).first()[0] <= 2 * pipeline.BATCH_BYTES
+
+    def remember(batches):
+        for frame in batches:
+            worker_memo("of another operator", lambda: 1)
+            yield frame
+
+    one = long.limit(1)
+    one.mapInPandas(remember, "text string").count()
+
+    @F.pandas_udf("boolean")
+    def kept(scores):
+        return scores.map(lambda _: "of another operator" in sys.__dict__.get("_fluoroframe_memo", {}))
+
+    scored = spark.range(64, numPartitions=8).select(toxicity.toxicity(F.lit("a"), toxicity.Lexicon({"b": 1.0})).alias("s"))
+    scored.write.format("noop").mode("overwrite").save()
+    assert not scored.select(kept("s").alias("k")).where("k").count()
+
+
 def test_only_attributes_that_hide_do():
     texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
     for attrs in ('aria-hidden="false"', 'class="hidden md:block"', 'data-hidden="1"', "title='display: none'", 'style="x-display:none-ish"'):
