@@ -89,11 +89,13 @@ class Transducer:
             for p, _, k in pieces
         ]
         self.floor = min(self.scores.values(), default=0.0) - _UNKNOWN_PENALTY
+        self.begins = {p[:i] for p in self.ids for i in range(2, len(p) + 1)}
         self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # neighbours that a piece joins
         # text may be cut before a space sign only if no piece goes on over one
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.pairs: dict[str, bool] = {}  # by both pieces, a zero character between them
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = cache_chunks
 
     # normaliser
@@ -139,24 +141,39 @@ class Transducer:
         """Pieces of the least-weight path over a normalised text; characters outside the vocabulary stand alone."""
         n, ids, longest = len(text), self.ids, self.longest
         if self.kind == BPE:
-            last: list[str] = [""] * (n + 1)
-            fits = self.pairs.get
-            for end in range(1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = text[start:end]
-                    if piece in ids or start == end - 1:
-                        before = last[start]
-                        good = fits(f"{before}\0{piece}")
+            # All weights are nothing, so any way through is the path.  As one sequence of pieces at most ends at a
+            # place, a place that leads nowhere is never entered again: each is left once.
+            begins, known, fits = self.begins, self.pairs.get, self._fits
+            out: list[str] = []
+            ways: list[list[str]] = []  # by place on the way: longer pieces last
+            dead: set[int] = set()
+            at, before = 0, ""
+            while at < n:
+                way, end, most = [text[at]], at + 2, min(n, at + longest)
+                while end <= most and (piece := text[at:end]) in begins:
+                    if piece in ids:
+                        way.append(piece)
+                    end += 1
+                while True:
+                    while way:
+                        piece = way.pop()
+                        if at + len(piece) in dead:
+                            continue
+                        good = known(f"{before}\0{piece}")
                         if good is None:
-                            good = self._fits(before, piece)
+                            good = fits(before, piece)
                         if good:
-                            last[end] = piece
                             break
-            out, at = [], n
-            while at:
-                out.append(last[at])
-                at -= len(last[at])
-            return out[::-1]
+                    else:  # a step back
+                        dead.add(at)
+                        at -= len(out.pop())
+                        before, way = out[-1] if out else "", ways.pop()
+                        continue
+                    break
+                out.append(piece)
+                ways.append(way)
+                at, before = at + len(piece), piece
+            return out
         weight, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
         for start in range(n):
             for end in range(start + 1, min(n, start + longest) + 1):
@@ -179,29 +196,35 @@ class Transducer:
             return [known]
         return [self.bytes[b] for b in piece.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
-    def _parts(self, chunk: str) -> list[str]:
-        """The chunk cut wherever no piece joins the two characters."""
-        out, start, inner = [], 0, self.inner
-        for i in range(1, len(chunk)):
-            if chunk[i - 1 : i + 1] not in inner:
-                out.append(chunk[start:i])
-                start = i
-        out.append(chunk[start:])
-        return out
+    def _path_ids(self, text: str) -> bytes:
+        pieces, get = self.path(text), self.ids.get
+        ids = [get(p) for p in pieces]
+        if None in ids:
+            ids = [i for p in pieces for i in self._emit(p)]
+        if not self.bytes and self.unknown in ids:  # neighbouring unknown characters are one
+            ids = [i for j, i in enumerate(ids) if i != self.unknown or j == 0 or ids[j - 1] != i]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        found = self.known.get(chunk)
+        """Ids of a chunk.  The last two remembered generations of chunks are known; what is met again moves to the younger."""
+        found = self.older.get(chunk)
         if found is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            parts = self._parts(chunk) if self.kind == BPE or self.bytes else [chunk]
-            if len(parts) > 1:
-                found = self.known[chunk] = b"".join([self.known.get(p) or self._chunk(p) for p in parts])
-                return found
-            ids = [i for p in self.path(chunk) for i in self._emit(p)]
-            if not self.bytes and self.unknown in ids:  # neighbouring unknown characters are one
-                ids = [i for j, i in enumerate(ids) if i != self.unknown or j == 0 or ids[j - 1] != i]
-            found = self.known[chunk] = np.array(ids, dtype="<u4").tobytes()
+            found = self._new(chunk)
+        if len(self.known) >= self.most // 2:
+            self.known, self.older = {}, self.known
+        self.known[chunk] = found
+        return found
+
+    def _new(self, chunk: str) -> bytes:
+        # marks at the end are cut off where no piece joins the two characters, so that words are known without them
+        if self.kind == BPE or self.bytes:
+            for i in range(len(chunk) - 1, max(0, len(chunk) - 4), -1):
+                if chunk[i - 1 : i + 1] not in self.inner:
+                    return b"".join([self.known.get(p) or self.older.get(p) or self._remember(p) for p in (chunk[:i], chunk[i:])])
+        return self._path_ids(chunk)
+
+    def _remember(self, part: str) -> bytes:
+        found = self.known[part] = self._path_ids(part)
         return found
 
     def encode(self, text: str) -> bytes:
@@ -215,8 +238,8 @@ class Transducer:
             chunks = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text)
         else:
             chunks = text.replace(SPACE, "\0" + SPACE).split("\0")
-        known = self.known
-        return b"".join([known.get(c) or self._chunk(c) for c in chunks if c])
+        chunk = self._chunk
+        return b"".join([self.known.get(c) or chunk(c) for c in chunks if c])
 
     def decode(self, ids: bytes) -> str:
         out, table = np.frombuffer(ids, dtype="<u4").tolist(), self.out

@@ -236,6 +236,26 @@ def test_encoding_keeps_every_row(spark, texts):
     assert all(r.decoded == (texts[r.doc_id] or "") and len(r.ids) == 4 * r.n_tokens for r in got)
 
 
+def test_chunks_in_use_outlive_a_full_memory(monkeypatch):
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as file:
+        machine = pieces.Transducer(file.read(), cache_chunks=8)
+    searched, path = [], machine.path
+    monkeypatch.setattr(machine, "path", lambda text: searched.append(text) or path(text))
+    for i in range(40):
+        machine.encode(f"common w{i}")
+    assert searched.count("▁common") == 1 and len(machine.known) + len(machine.older) <= 8 + 4
+
+
+def test_marks_end_words_that_are_known(monkeypatch):
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as file:
+        machine = pieces.Transducer(file.read())
+    searched, path = [], machine.path
+    monkeypatch.setattr(machine, "path", lambda text: searched.append(text) or path(text))
+    machine.encode("zq" * 3000)
+    machine.encode("!a" * 3000)  # many cuts and no deep call
+    assert len(searched) <= 4
+
+
 # Token store
 
 
