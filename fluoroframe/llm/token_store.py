@@ -158,7 +158,8 @@ class ByteLevelEncoder:
         self._keep(["\n"], line, np.zeros(1, dtype=np.int64), np.full(1, len(line)))
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        # without the places of ids in the text, which nothing here reads
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _keep(self, chunks: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """Remember the spans of ``ids`` that belong to chunks."""

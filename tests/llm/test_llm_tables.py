@@ -280,6 +280,19 @@ def test_chunked_ids_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_library_works_out_ids_only():
+    encoder = token_store.ByteLevelEncoder(tokenizer_file("byte_bpe_50k.json"))
+    library = encoder.tokenizer
+
+    class IdsOnly:
+        """No call that also works out the place of every id in the text."""
+
+        encode_batch_fast = staticmethod(library.encode_batch_fast)
+
+    encoder.tokenizer, text = IdsOnly(), "Some words, and a <|endoftext|> mark."
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_store_reads_back_what_it_wrote(spark, texts, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
