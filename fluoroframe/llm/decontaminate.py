@@ -33,39 +33,48 @@ UNITS = (
 
 _TOKEN = r"(\p{N}+(?:[.,:/]\p{N}+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[.!?\n])"
 _MARKS = (".", "!", "?", "\n")
+# Kinds of tokens.
+_PLAIN, _NUMBER, _MARK, _CAPITALS, _CAPITAL = range(5)
 
 
 def _canonical(rows: DataFrame, text: str) -> DataFrame:
     """Adds ``_c`` (hash of every template word), ``_v`` (hash of the value in each slot, null elsewhere), and both with
     capitalised words at the beginning of a sentence read as names: ``_nc`` and ``_nv``."""
     tokens = once(rows, "_t", F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(1)))
-    before = lambda i: F.when(i > 0, F.element_at("_t", F.greatest(i, F.lit(1))))
-    units = F.array(*[F.lit(u) for u in UNITS])
 
-    def form(t: Column, i: Column) -> Column:
-        first, low = F.substring(t, 1, 1), F.lower(t)
-        led, prior = first != F.lower(first), before(i)
+    def kind(t: Column) -> Column:
+        """By the first character, cheapest test first, as expressions inside arrays are worked out node by node."""
+        first = F.substring(t, 1, 1)
         return (
-            F.when(first.between("0", "9"), F.lit("#number"))
-            .when(led & (t != F.upper(t)) & prior.isNotNull() & ~prior.isin(*_MARKS), F.lit("#name"))
-            .when(~led & F.substring(prior, 1, 1).between("0", "9") & F.array_contains(units, low), F.lit("#unit"))
-            .otherwise(low)
-        )
-
-    def leading(t: Column, i: Column) -> Column:
-        first, prior = F.substring(t, 1, 1), before(i)
-        return (first != F.lower(first)) & (t != F.upper(t)) & (prior.isNull() | prior.isin(*_MARKS))
-
-    formed = F.transform("_t", lambda t, i: F.struct(form(t, i).alias("c"), t.alias("t"), leading(t, i).alias("l")))
-    formed = once(tokens, "_f", F.filter(formed, lambda f: ~f["t"].isin(*_MARKS))).drop("_t")
-    value = lambda f: F.xxhash64(F.lower(f["t"]))
-    slot = lambda f: F.when(f["c"].startswith("#"), value(f))
+            F.when((t >= "a") & (t < "{"), _PLAIN).when((t >= "0") & (t < ":"), _NUMBER).when(t.isin(*_MARKS), _MARK)
+            .when(first == F.lower(first), _PLAIN).when(t == F.upper(t), _CAPITALS).otherwise(_CAPITAL)
+        )
+
+    # Plain arrays beside each other, as an array of structs is far dearer to write.  A word as it is and the value in a
+    # slot are the same hash.
+    read = F.struct(F.transform("_t", kind).alias("_k"), F.transform("_t", lambda t: F.xxhash64(F.lower(t))).alias("_h"))
+    read = once(tokens, "_r", read).drop("_t").select("*", "_r.*").drop("_r")
+    number, name, unit = (F.xxhash64(F.lit(p)) for p in ("#number", "#name", "#unit"))
+    units = [F.xxhash64(F.lit(u)) for u in UNITS]
+
+    def placeholder(k: Column, i: Column) -> Column:
+        prior = F.get("_k", i - 1)
+        return (
+            F.when(k == _PLAIN, F.when((prior == _NUMBER) & F.get("_h", i).isin(*units), unit))
+            .when(k == _NUMBER, number).when((k == _CAPITAL) & (prior != _MARK), name)
+        )
+
+    formed = once(read, "_p", F.transform("_k", placeholder))
+    words = lambda x, i: F.get("_k", i) != _MARK
+    led = lambda i: F.get("_k", i) == _CAPITAL  # at the beginning of a sentence, where there is no placeholder
+    slot = lambda i: F.get("_h", i)
     both = F.struct(
-        F.transform("_f", lambda f: F.xxhash64(f["c"])).alias("_c"), F.transform("_f", slot).alias("_v"),
-        F.transform("_f", lambda f: F.xxhash64(F.when(f["l"], F.lit("#name")).otherwise(f["c"]))).alias("_nc"),
-        F.transform("_f", lambda f: F.when(f["l"], value(f)).otherwise(slot(f))).alias("_nv"),
-    )
-    return once(formed, "_b", both).select("*", "_b.*").drop("_b", "_f", text)
+        F.filter(F.transform("_p", lambda p, i: F.coalesce(p, slot(i))), words).alias("_c"),
+        F.filter(F.transform("_p", lambda p, i: F.when(p.isNotNull(), slot(i))), words).alias("_v"),
+        F.filter(F.transform("_p", lambda p, i: F.coalesce(p, F.when(led(i), name), slot(i))), words).alias("_nc"),
+        F.filter(F.transform("_p", lambda p, i: F.when(p.isNotNull() | led(i), slot(i))), words).alias("_nv"),
+    )
+    return once(formed, "_b", both).select("*", "_b.*").drop("_b", "_p", "_k", "_h", text)
 
 
 def _windows(length: int, words: str = "_c") -> Column:
@@ -74,6 +83,21 @@ def _windows(length: int, words: str = "_c") -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), one)).otherwise(F.array().cast("array<long>"))
 
 
+def _laid(rows: DataFrame, name: str, lengths: list[int], words: str = "_c") -> DataFrame:
+    """Adds the windows of each length, one length after the other; those of ``WINDOW`` words are hashes of two halves, halved again."""
+    def joined(parts: str, step: int) -> Column:
+        return F.transform(parts, lambda h, i: F.xxhash64(h, F.get(parts, i + step)))
+
+    temp, last = [], words
+    if WINDOW in lengths:
+        for step in (1, 2, 4):
+            temp.append(f"{name}{step}")
+            rows = once(rows, temp[-1], joined(last, step))
+            last = temp[-1]
+    whole = F.slice(last, 1, F.greatest(F.size("_c") - (WINDOW - 1), F.lit(0)))
+    return once(rows, name, F.concat(*[whole if n == WINDOW else _windows(n, words) for n in lengths])).drop(*temp)
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
     item_text_column: str = "text", coverage: float = COVERAGE,
@@ -105,13 +129,16 @@ def find_leaks(
         return empty.select(F.col("_id").alias(id_column), "_hash", F.lit(None).cast(kind).alias(item_column), F.lit(0.0).alias("coverage"), F.lit(0).alias("slots"), F.lit(True).alias("consistent"))
     item_windows = reduce(
         DataFrame.unionByName,
-        [items.where(F.col("_n") == n).select("_key", "_n", F.posexplode_outer(F.arrays_zip(_windows(n).alias("a"), _windows(n, "_nc").alias("b"))).alias("_at", "_both")) for n in lengths],
+        [
+            _laid(_laid(items.where(F.col("_n") == n), "_wa", [n]), "_wb", [n], "_nc").select("_key", "_n", F.posexplode_outer(F.arrays_zip(F.col("_wa").alias("a"), F.col("_wb").alias("b"))).alias("_at", "_both"))
+            for n in lengths
+        ],
     )
     item_windows = cut(item_windows.select("_key", "_n", "_at", F.explode(F.array_distinct(F.array("_both.a", "_both.b"))).alias("_w")))
     totals = item_windows.groupBy("_key").agg(F.countDistinct("_at").alias("_total"))
     # both readings of each window, one after the other; the second is null where it is the first
-    words = once(words, "_wa", F.concat(*[_windows(n) for n in lengths]))
-    second = F.zip_with(F.concat(*[_windows(n, "_nc") for n in lengths]), "_wa", lambda b, a: F.when(a != b, b))
+    words = _laid(_laid(words, "_wa", lengths), "_wb", lengths, "_nc")
+    second = F.zip_with("_wb", "_wa", lambda b, a: F.when(a != b, b))
     words = once(words, "_all", F.concat(F.col("_wa"), second))
     # numbers before the windows are laid out, so that no row of a window carries the words of its text
     words = once(words, "_many", F.struct(F.size("_c").alias("c"), F.size("_wa").alias("w"))).select("_id", "_hash", "_many", "_all")

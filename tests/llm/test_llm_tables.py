@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("fluoroframe.llm")
 
@@ -382,6 +383,18 @@ def test_names_at_the_beginning_of_sentences_can_change(spark):
     assert got == {(0, 1): True, (1, 2): True, (2, 2): False}
 
 
+def test_documents_keep_plain_arrays(spark):
+    """Kinds, words and windows of a document are arrays of numbers; arrays of structs per word made the templates dear."""
+    docs = spark.createDataFrame([(1, "Tim has 7 kg of APPLES. Then 8 Tim went on to get many more")], "_id long, _text string")
+    rows = decontaminate._laid(decontaminate._canonical(docs, "_text"), "_w", [3, decontaminate.WINDOW])
+    assert {t for c, t in rows.dtypes if c not in ("_id", "_text")} == {"array<bigint>"}
+    row = rows.first()
+    assert len(row["_c"]) == 15 and len(row["_w"]) == 13 + 8 and len(set(row["_w"])) == 21
+    again = decontaminate._canonical(docs.select("_id", F.lit("tim has 9 kg of apples").alias("_text")), "_text").first()
+    assert again["_c"][1:] == row["_c"][1:6] and [v is not None for v in again["_v"]] == [False, False, True, True, False, False]
+    assert row["_nc"][0] != row["_c"][0] and row["_nv"][0] is not None and row["_v"][0] is None
+
+
 # Toxicity and quality
 
 
